@@ -162,3 +162,43 @@ def as_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+#: Text that a task gathers before it combines and sends what it found.
+FLUSH_BYTES = 8 << 20
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """doc_id, z: the texts compressed with zstandard, for when whole texts must move."""
+    import pyarrow as pa
+
+    def run(batches):
+        import zstandard as zs
+
+        pack = zs.ZstdCompressor(level=3).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in as_bytes(b.column(1))], pa.binary())], ["doc_id", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, z binary")
+
+
+def total_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+
+
+def flushes(rows: Iterator, size=lambda r: len(r[1])) -> Iterator[list]:
+    """Lists of rows of about FLUSH_BYTES together."""
+    held, total = [], 0
+    for r in rows:
+        held.append(r)
+        total += size(r)
+        if total >= FLUSH_BYTES:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Borders of runs of equal values: 0, ..., len(values)."""
+    return np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)])) if len(values) else np.zeros(1, int)

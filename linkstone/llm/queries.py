@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, quality, sharding, toxicity, url_filter
+from . import decontamination, exact_dedup, jaccard_join, quality, sharding, substring_dedup, toxicity, url_filter
 from .common import load
 
 
@@ -18,6 +18,10 @@ def op3_quality(spark, sf_dir):
     return quality.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(load(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(load(spark, sf_dir, "documents"))
 
@@ -30,5 +34,9 @@ def op8_decontamination(spark, sf_dir):
     return decontamination.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op5_exact_dedup, op6_url_filter, op8_decontamination)}
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op4_substring_dedup, op5_exact_dedup, op6_url_filter, op8_decontamination, op9_jaccard_join)}
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE, "op8_decontamination": decontamination.ORACLE}
