@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkstone.llm import decontamination, exact_dedup, quality
+from linkstone.llm import decontamination, exact_dedup, jaccard_join, quality, sentencepiece_codec
 from linkstone.llm.common import load, shared_dir
+from linkstone.llm.queries import TOKENIZERS
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +22,27 @@ def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return exact_dedup.drop_exact_copies(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links of the exact Jaccard join lead to, the smallest doc_id stays (operator 9)."""
+    return jaccard_join.keep_one_of_each(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any benchmark window go (operator 8)."""
     return decontamination.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    """doc_id, ids, n_tokens of every document that is left (operator 10)."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(model)).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 STAGES = [
     ("quality", quality_classifier),
     ("exact_dedup", exact_deduplication),
+    ("near_duplicates", near_duplicates),
     ("decontamination", benchmark_decontamination),
+    ("encoding", encoding),
 ]
 
 #: Learnt scores and the tokenizer's merges can't be expressed in SQL; tests compare with brute force.
