@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, as_bytes, blocks, compressed, cut, drop, flushes, hash_words, runs, total_bytes, window_hashes
+from .common import NOT_SPACE, as_bytes, blocks, compressed, cut, drop, flushes, hash_words, mix, runs, total_bytes, window_hashes
 
 WINDOW, BLOCK = 50, 25
 #: Bytes of text for each group of hashes.
@@ -134,8 +134,21 @@ def _per_document(doc: np.ndarray, value: np.ndarray, name: str) -> pd.DataFrame
     return pd.DataFrame({"doc_id": doc[at[:-1]], name: [value[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]})
 
 
-def _anchor_hits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Hits of one group of hashes, by document."""
+def _by_bucket(doc: np.ndarray, value: np.ndarray, buckets: int) -> pd.DataFrame:
+    """One row for each bucket of documents, with all their values."""
+    bucket = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, bucket))
+    doc, value, bucket = doc[order], value[order], bucket[order]
+    at = runs(bucket)
+    rows = [(int(bucket[a]), *_by_document(doc[a:b]), value[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return pd.DataFrame(rows, columns=["bucket", "ids", "counts", "x"])
+
+
+_BUCKET = "bucket int, ids binary, counts binary, x binary"
+
+
+def _anchor_hits(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Hits of one group of hashes, by bucket of documents."""
     done, open_ = pdf[pdf["settled"]], pdf[~pdf["settled"]]
     docs, codes = [_documents(done)], [np.frombuffer(b"".join(done["h"]), "<u8")]
     if len(open_):
@@ -152,12 +165,12 @@ def _anchor_hits(pdf: pd.DataFrame) -> pd.DataFrame:
             keep = (first[at] < d) | (f & (last[at] > d))
             docs.append(d[keep])
             codes.append((np.uint64(int(open_["q"].iloc[0])) << np.uint64(39)) | block[at[keep]])
-    return _per_document(np.concatenate(docs), np.concatenate(codes).astype("<u8"), "codes")
+    return _by_bucket(np.concatenate(docs), np.concatenate(codes).astype("<u8"), buckets)
 
 
-def _window_rows(groups: int, wgroups: int, seed: int, rows: list[tuple[int, bytes, list]]) -> pa.RecordBatch:
+def _window_rows(groups: int, wgroups: int, seed: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     hs, lows, docs, places = [], [], [], []
-    hits = {d: np.frombuffer(b"".join(c), "<u8") for d, _, c in rows}
+    hits = {d: np.frombuffer(c, "<u8") for d, _, c in rows}
     for ids, w in _hashed([(d, t) for d, t, _ in rows]):
         codes = code_of(w.windows(BLOCK), groups)
         fifty, lane = w.windows(WINDOW), w.windows(WINDOW, lane=1)
@@ -197,8 +210,8 @@ def _window_rows(groups: int, wgroups: int, seed: int, rows: list[tuple[int, byt
     return _rows(out)
 
 
-def _window_marks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Starts of the windows that a smaller document has too, by document."""
+def _window_marks(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Starts of the windows that a smaller document has too, by bucket of documents."""
     done, open_ = pdf[pdf["settled"]], pdf[~pdf["settled"]]
     docs, places = [_documents(done)], [np.frombuffer(b"".join(done["x"]), "<u4")]
     if len(open_):
@@ -212,7 +225,7 @@ def _window_marks(pdf: pd.DataFrame) -> pd.DataFrame:
         repeated = doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
         docs.append(doc[repeated])
         places.append(place[repeated])
-    return _per_document(np.concatenate(docs), np.concatenate(places).astype("<u4"), "starts")
+    return _by_bucket(np.concatenate(docs), np.concatenate(places).astype("<u4"), buckets)
 
 
 def removed_words(n: int, starts: np.ndarray) -> np.ndarray:
@@ -222,8 +235,14 @@ def removed_words(n: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
+def _of_documents(found: DataFrame, kind: str, name: str) -> DataFrame:
+    """One row for each document, from rows for buckets of them."""
+    unpack = lambda pdf: _per_document(_documents(pdf), np.frombuffer(b"".join(pdf["x"]), kind), name)
+    return found.groupBy("bucket").applyInPandas(unpack, f"doc_id long, {name} binary")
+
+
 def marks(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """doc_id, starts array<binary>: starts of the repeated windows of each document that has any."""
+    """doc_id, starts binary: starts of the repeated windows of each document that has any."""
     size = total_bytes(docs)
     groups = wgroups = 16 + int(size // GROUP_BYTES)
 
@@ -236,8 +255,8 @@ def marks(docs: DataFrame, packed: DataFrame) -> DataFrame:
             yield _anchor_rows(groups, part + k, pairs)
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(anchors, _ROW)
-    hits = cut(found.groupBy("q").applyInPandas(_anchor_hits, "doc_id long, codes binary"), "anchor-hits")
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list("codes").alias("codes"))
+    hits = cut(found.groupBy("q").applyInPandas(lambda pdf: _anchor_hits(pdf, groups), _BUCKET), "anchor-hits")
+    by_doc = _of_documents(hits, "<u8", "codes")
 
     def extend(batches):
         from pyspark import TaskContext
@@ -250,9 +269,9 @@ def marks(docs: DataFrame, packed: DataFrame) -> DataFrame:
             yield _window_rows(groups, wgroups, part + k, some)
 
     around = packed.join(by_doc, "doc_id").select("doc_id", "z", "codes").mapInArrow(extend, _ROW)
-    found = cut(around.groupBy("q").applyInPandas(_window_marks, "doc_id long, starts binary"), "window-marks")
+    found = cut(around.groupBy("q").applyInPandas(lambda pdf: _window_marks(pdf, groups), _BUCKET), "window-marks")
     drop(hits)
-    return found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    return _of_documents(found, "<u4", "starts")
 
 
 def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -276,7 +295,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 words = unpack(z).split()
                 n = len(words)
                 if starts:
-                    gone = removed_words(n, np.frombuffer(b"".join(starts), "<u4"))
+                    gone = removed_words(n, np.frombuffer(starts, "<u4"))
                     words = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 text = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(text).hexdigest(), text if with_text else None))
