@@ -16,9 +16,10 @@ distance is at most EPS = 0.15 (100 * intersection >= 85 * union).
    goes to the nearest pivot and, by the triangle inequality, to every pivot no
    more than 2 * EPS farther away, so linked members meet in the home region of
    either.  Members within EPS of a pivot are linked to it, hence to each other;
-   a region of only such members is finished.  This recurs.  What stays too
-   large after `rounds` is cut into tiles: members that aren't within EPS of the
-   pivot against all members.
+   a region of only such members is finished.  This recurs.  A region whose
+   windows replicate it more than `growth` times doesn't split (its members are
+   all within a few EPS of each other); it is cut into tiles instead: members
+   that aren't within EPS of the pivot against all members, tile by tile.
 4. A small region is joined in one task, again with pivot distances to skip what
    the triangle inequality rules out; it returns a spanning forest, not pairs.
 5. Links of all regions are contracted by alternating stars, as tables.
@@ -263,11 +264,11 @@ def voronoi(members: DataFrame, regions: list[int], pivots: int, turn: int) -> t
                 d, near = 1 - inter / np.maximum(union, 1), linked(inter, union + inter - len(s), len(s))
                 for k in np.flatnonzero(d <= d.min() + 2 * EPS + 1e-9).tolist():
                     name = int(mix(np.array([region], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(turn * 1009 + k + 1)).view(np.int64)[0])
-                    out.append((name, rep, n, z, bool(near[k]) or rep == ps[k][0], None))
-                out += [(None, rep, n, None, None, ps[k][0]) for k in np.flatnonzero(near).tolist() if ps[k][0] != rep]
-            yield pd.DataFrame(out, columns=["region", "rep", "n", "z", "ball", "pivot"]).astype({"region": "Int64", "pivot": "Int64", "ball": "boolean"})
+                    out.append((name, rep, n, z, bool(near[k]) or rep == ps[k][0], None, region))
+                out += [(None, rep, n, None, None, ps[k][0], region) for k in np.flatnonzero(near).tolist() if ps[k][0] != rep]
+            yield pd.DataFrame(out, columns=["region", "rep", "n", "z", "ball", "pivot", "parent"]).astype({"region": "Int64", "pivot": "Int64", "ball": "boolean"})
 
-    dealt = cut(some.select("region", "rep", "n", "z").mapInPandas(run, _MEMBER + ", pivot long"), "regions")
+    dealt = cut(some.select("region", "rep", "n", "z").mapInPandas(run, _MEMBER + ", pivot long, parent long"), "regions")
     return dealt.where("region IS NOT NULL").drop("pivot"), dealt.where("region IS NULL").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
 
 
@@ -299,7 +300,7 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
-def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int = 1536, weight: int = 4_000_000, pivots: int = 16, rounds: int = 4, block: int = 32) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int = 4096, weight: int = 4_000_000, pivots: int = 16, growth: float = 4.0, rounds: int = 8, block: int = 32) -> DataFrame:
     """(a, b): representatives of classes whose links connect the same components as all links do."""
     assigned = cut(first_regions(docs, sketch), "assigned")
     wanted = assigned.join(classes, ["fp", "n"]).select("region", "rep", "n")
@@ -311,22 +312,20 @@ def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int
         fits = (F.col("members") <= capacity) & (F.col("shingles") <= weight)
         live = sizes.where("members > 1 AND outside > 0")
         found.append(cut(solve(members.join(live.where(fits).select("region"), "region", "left_semi")), "links"))
-        large = live.where(~fits).cache()
-        if large.isEmpty():
-            break
-        if turn == rounds:
-            found.append(cut(solve(tiles(members.join(large.select("region"), "region", "left_semi"), large, capacity // 2)), "links"))
-            break
-        dealt = []
+        large = live.where(~fits)
         ids = [r["region"] for r in large.select("region").orderBy("region").collect()]
+        if not ids:
+            break
+        dealt = None
         for i in range(0, len(ids), block):
             part, near = voronoi(members, ids[i : i + block], pivots, turn)
-            dealt.append(part)
+            dealt = part if dealt is None else dealt.unionByName(part)
             found.append(near)
-        members = dealt[0]
-        for d in dealt[1:]:
-            members = members.unionByName(d)
+        after = dealt.groupBy("parent").agg(F.count(F.lit(1)).alias("after"))
         turn += 1
+        stuck = cut(large.join(after, large["region"] == after["parent"]).where((F.col("after") > growth * F.col("members")) | F.lit(turn == rounds)).select("region", "members", "outside"), "stuck")
+        found.append(cut(solve(tiles(members.join(stuck.select("region"), "region", "left_semi"), stuck, capacity // 2)), "links"))
+        members = dealt.join(stuck.select(F.col("region").alias("parent")), "parent", "left_anti").drop("parent")
     edges = found[0]
     for e in found[1:]:
         edges = edges.unionByName(e)
