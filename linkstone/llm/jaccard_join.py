@@ -89,11 +89,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         count = np.zeros(SKETCH, np.int32)
         for rows in flushes(_rows_of(batches)):
             sets = sets_of([t for _, t in rows])
-            for s in sets:
-                count += 0 if not len(s) else np.bincount((s >> np.uint64(40)) % np.uint64(SKETCH), minlength=SKETCH) if len(s) > SKETCH // 8 else 0
-            some = [s for s in sets if 0 < len(s) <= SKETCH // 8]
-            if some:
-                count += np.bincount((np.concatenate(some) >> np.uint64(40)) % np.uint64(SKETCH), minlength=SKETCH).astype(np.int32)
+            count += np.bincount((np.concatenate(sets) >> np.uint64(40)) % np.uint64(SKETCH), minlength=SKETCH).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d for d, _ in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())],
                 ["doc_id", "n", "fp", "chunk", "counts"],
@@ -201,6 +197,9 @@ class Inverted:
 
 def forest(sets: list[np.ndarray], skip: np.ndarray | None = None, pivots: int = 8) -> list[tuple[int, int]]:
     """Edges that connect what is linked. skip marks members that are already connected with each other."""
+    if len(sets) == 2:
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if linked(np.int64(shared), len(sets[0]), len(sets[1])) else []
     index = Inverted(sets)
     label, far, edges = np.arange(len(sets)), [], []
     if skip is not None and skip.any():
@@ -232,16 +231,20 @@ def _unpack(zs_blobs) -> list[np.ndarray]:
     return sets_of([unpack(z) for z in zs_blobs])
 
 
-def solve(members: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest of the links in each region that fits in a task."""
+def solve(members: DataFrame, weight: int = 1_000_000) -> DataFrame:
+    """(a, b): a spanning forest of the links in each region that fits in a task; a task gets regions of about weight shingles together."""
+    total = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
     def run(pdf):
-        pdf = pdf.sort_values("rep").drop_duplicates("rep")
-        rep = pdf["rep"].to_numpy()
-        edges = forest(_unpack(pdf["z"]), pdf["ball"].to_numpy(bool))
-        return pd.DataFrame({"a": rep[[e[0] for e in edges]] if edges else [], "b": rep[[e[1] for e in edges]] if edges else []}, dtype="int64")
-
-    return members.groupBy("region").applyInPandas(run, "a long, b long")
+        pdf = pdf.drop_duplicates(["region", "rep", "ball"]).sort_values(["region", "rep"], kind="stable")
+        sets, rep, ball, out = _unpack(pdf["z"]), pdf["rep"].to_numpy(), pdf["ball"].to_numpy(bool), []
+        at = runs(pdf["region"].to_numpy())
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            out += [(rep[a + i], rep[a + j]) for i, j in forest(sets[a:b], ball[a:b])]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    task = F.pmod(F.xxhash64("region"), F.lit(1 + int(total // weight)))
+    return members.withColumn("_task", task).groupBy("_task").applyInPandas(run, "a long, b long")
 
 
 def voronoi(members: DataFrame, regions: list[int], pivots: int, turn: int) -> tuple[DataFrame, DataFrame]:
