@@ -186,13 +186,13 @@ def total_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
 
 
-def flushes(rows: Iterator, size=lambda r: len(r[1])) -> Iterator[list]:
-    """Lists of rows of about FLUSH_BYTES together."""
+def flushes(rows: Iterator, limit: int = FLUSH_BYTES) -> Iterator[list]:
+    """Lists of rows of about limit bytes of text (their second value) together."""
     held, total = [], 0
     for r in rows:
         held.append(r)
-        total += size(r)
-        if total >= FLUSH_BYTES:
+        total += len(r[1])
+        if total >= limit:
             yield held
             held, total = [], 0
     if held:

@@ -26,7 +26,11 @@ from .common import as_bytes, flushes
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Units whose ids a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 17
+#: Columns of four characters by which suffixes are sorted.
+SORTED = 2
+#: Text of a batch.
+BATCH_BYTES = 6 << 20
 
 
 def _fields(raw: bytes):
@@ -209,13 +213,22 @@ class Codec:
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of all occurrences, by position. codes: the batch text, 0 between units."""
-        n, width = len(codes), self.columns * 4
+        n = len(codes)
         ends = np.append(np.flatnonzero(codes == 0), n)
         room = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-        padded = np.concatenate((codes, np.zeros(width, np.uint16)))
-        rows = np.lib.stride_tricks.sliding_window_view(padded, width)[:n].copy()
-        rows[np.arange(width)[None, :] >= room[:, None]] = 0
-        keys = self._pack(rows)
+        wide = np.concatenate((codes, np.zeros(3, np.uint16))).astype(np.uint64)
+        four = wide[:n] << np.uint64(48)  # four characters in a number, none from beyond the unit
+        for k in (1, 2, 3):
+            four |= np.where(room > k, wide[k : n + k], np.uint64(0)) << np.uint64(48 - 16 * k)
+
+        def column(at: np.ndarray, k: int) -> np.ndarray:
+            """The k-th four characters of the suffixes at."""
+            there = at + 4 * k
+            return np.where(room[at] > 4 * k, four[np.minimum(there, n - 1)], np.uint64(0))
+
+        # the suffix array is sorted by SORTED * 4 characters; longer pieces are compared on to their end below
+        everywhere = np.arange(n)
+        keys = [column(everywhere, k) for k in range(SORTED)]
         order = np.lexsort(keys[::-1])
         keys = [k[order] for k in keys]
 
@@ -226,7 +239,7 @@ class Codec:
                 mid = (lo + hi) >> 1
                 at = np.minimum(mid, n - 1)
                 less, same = np.zeros(len(lo), bool), np.ones(len(lo), bool)
-                for k, w in zip(keys, want, strict=True):
+                for k, w in zip(keys, want[:SORTED], strict=True):
                     less |= same & (k[at] < w)
                     same &= k[at] == w
                 lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
@@ -236,6 +249,12 @@ class Codec:
         count = bound(self.high) - first
         suffix = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start, k = order[suffix], np.repeat(np.arange(len(count)), count)
+        for c in range(SORTED, self.columns):
+            long = np.flatnonzero(self.lengths[k] > 4 * c)
+            if len(long):
+                text = column(start[long], c)
+                wrong = long[(text < self.low[c][k[long]]) | (text > self.high[c][k[long]])]
+                start, k = np.delete(start, wrong), np.delete(k, wrong)
         by_position = np.lexsort((self.lengths[k], start))
         start, k = start[by_position], k[by_position]
         return start, start + self.lengths[k], self.usable[k]
@@ -254,7 +273,7 @@ class Codec:
         alone = np.ones(len(codes), bool)  # characters without a piece of their own are edges, too
         alone[start[end == start + 1]] = False
         alone &= text > 0
-        alone |= np.isin(np.arange(len(codes)), inside[points == 0])
+        alone[inside[points == 0]] = True
         start, end, piece = (np.concatenate(x) for x in ((start, np.flatnonzero(alone)), (end, np.flatnonzero(alone) + 1), (piece, np.full(alone.sum(), -1))))
         offset = start - np.repeat(base, size + 1)[start]
         order = np.argsort(offset, kind="stable")
@@ -281,7 +300,25 @@ class Codec:
                 s, e, p, value = (x[order][top] for x in (s, e, p, value))
                 better = value > best[e]
                 last[e[better]], came[e[better]], best[e[better]] = p[better], s[better], value[better]
-        return [self._walk(u, int(b), int(b) + len(u), last, came) for u, b in zip(units, base, strict=True)]
+        # back along the edges of all units at once
+        at = base + size
+        on_path = np.zeros(len(codes) + 1, bool)
+        live = np.flatnonzero(came[at] >= 0)
+        reached = np.zeros(len(units), bool)
+        reached[live] = True
+        at = at[live]
+        while len(at):
+            on_path[at] = True
+            at = came[at]
+            at = at[came[at] >= 0]
+        plain = reached.copy()
+        ends = np.flatnonzero(on_path)
+        unit_of = np.searchsorted(base, ends, side="left") - 1
+        plain[unit_of[last[ends] < 0]] = False
+        ids = last[ends].astype("<i4")
+        cut_at = np.searchsorted(unit_of, np.arange(len(units) + 1)) * 4
+        raw = ids.tobytes()
+        return [raw[a:b] if ok else self._walk(u, s, s + len(u), last, came) for u, s, a, b, ok in zip(units, base.tolist(), cut_at[:-1].tolist(), cut_at[1:].tolist(), plain.tolist(), strict=True)]
 
     def _walk(self, unit: str, begin: int, at: int, last: np.ndarray, came: np.ndarray) -> bytes:
         out = []
@@ -335,7 +372,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         codec = _codec(shared)
         rows = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True))
-        for part in flushes(rows):
+        for part in flushes(rows, BATCH_BYTES):
             ids = codec.encode([t.decode() for _, t in part])
             offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], kind), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))], ["doc_id", "ids"])
@@ -367,7 +404,7 @@ def encode_and_check(docs: DataFrame, model: Model) -> DataFrame:
 
         codec = _codec(shared)
         rows = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True))
-        for part in flushes(rows):
+        for part in flushes(rows, BATCH_BYTES):
             texts = [t.decode() for _, t in part]
             ids = codec.encode(texts)
             yield pa.RecordBatch.from_arrays(
