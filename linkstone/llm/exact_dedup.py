@@ -27,10 +27,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Null and empty texts are one group.  Of equal texts the row with the
-    smallest id stays; rows without an id stay only if no row of the group has
-    one, and then all but their first repetition in no order can't be told
-    apart, so each is kept.  Repeated rows with the same id are all marked kept
-    if that id is the smallest.  Other columns are ignored, whatever their names.
+    smallest id stays; repeated rows with that id all stay.  Rows without an id
+    stay only where no row of the group has one.  An empty table gives an empty
+    result.  Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_norm"))
     keyed = rows.select(
@@ -46,8 +45,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of docs whose text is the first of its group, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).distinct()
+    same = docs[id_col].eqNullSafe(kept["_kept_id"]) & (F.sha2(normalised(docs[text_col]), 256) == kept["_kept_text"])
+    return docs.join(kept, same, "left_semi")
 
 
 ORACLE = r"""
