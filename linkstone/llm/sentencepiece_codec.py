@@ -26,9 +26,7 @@ from .common import as_bytes, flushes
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Units whose ids a worker remembers.
-REMEMBERED = 3 << 17
-#: Columns of four characters by which suffixes are sorted.
-SORTED = 2
+REMEMBERED = 3 << 18
 #: Text of a batch.
 BATCH_BYTES = 6 << 20
 
@@ -106,7 +104,6 @@ class Codec:
         self.code_of = np.ones(0x110000, np.uint16)  # 1: in no piece
         self.code_of[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
         self.longest = max(map(len, self.ids))
-        self.columns = -(-self.longest // 4)
         self.rank = np.full(self.size, -1, np.int64)  # of the merge that makes a piece; -1 for single characters
         order = sorted((i for p, i in self.ids.items() if len(p) > 1), key=lambda i: (-model.scores[i], i))
         self.rank[order] = np.arange(len(order))
@@ -115,12 +112,10 @@ class Codec:
             self._learn_splits()
         text = [model.pieces[i] for i in self.usable]
         self.lengths = np.array([len(t) for t in text])
-        codes = np.zeros((len(text), self.columns * 4), np.uint16)
+        self.codes = np.zeros((len(text), -(-self.longest // 8) * 8), np.uint16)
         for k, t in enumerate(text):
-            codes[k, : len(t)] = self.code_of[[ord(c) for c in t]]
-        self.low = self._pack(codes)
-        codes[np.arange(codes.shape[1])[None, :] >= self.lengths[:, None]] = 0xFFFF
-        self.high = self._pack(codes)
+            self.codes[k, : len(t)] = self.code_of[[ord(c) for c in t]]
+        self.alphabet = len(chars) + 2
         self.usable = np.array(self.usable)
         self.bytes = [p.replace(MARK, " ").encode() for p in model.pieces]
         for b, i in model.byte_ids.items():
@@ -129,12 +124,6 @@ class Codec:
             self.bytes[i] = " ⁇ ".encode() if i == model.unknown else b""
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def _pack(codes: np.ndarray) -> list[np.ndarray]:
-        """Columns of four codes each, comparable as numbers."""
-        c = codes.astype(np.uint64).reshape(len(codes), -1, 4)
-        return [(c[:, k, 0] << np.uint64(48)) | (c[:, k, 1] << np.uint64(32)) | (c[:, k, 2] << np.uint64(16)) | c[:, k, 3] for k in range(c.shape[1])]
-
     def merge(self, text: str, last: list | None = None) -> list[int]:
         """Plain merging of a short text: the best pair first, the leftmost of equals. last gets the final pair merged."""
         parts = list(text)
@@ -211,53 +200,52 @@ class Codec:
             self.agreed = keys, values = keys[order], values[order]
         return values[np.searchsorted(keys, code)]
 
-    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece) of all occurrences, by position. codes: the batch text, 0 between units."""
+    def edges(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all occurrences. codes: the batch text, 0 between units; room: characters up to the unit's end.
+
+        The characters of the batch are numbered anew, so that as many as
+        possible fit in a 64-bit number, by which suffixes are sorted; longer
+        pieces are compared on to their end where their beginning occurs.
+        """
         n = len(codes)
-        ends = np.append(np.flatnonzero(codes == 0), n)
-        room = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-        wide = np.concatenate((codes, np.zeros(3, np.uint16))).astype(np.uint64)
-        four = wide[:n] << np.uint64(48)  # four characters in a number, none from beyond the unit
-        for k in (1, 2, 3):
-            four |= np.where(room > k, wide[k : n + k], np.uint64(0)) << np.uint64(48 - 16 * k)
-
-        def column(at: np.ndarray, k: int) -> np.ndarray:
-            """The k-th four characters of the suffixes at."""
-            there = at + 4 * k
-            return np.where(room[at] > 4 * k, four[np.minimum(there, n - 1)], np.uint64(0))
-
-        # the suffix array is sorted by SORTED * 4 characters; longer pieces are compared on to their end below
-        everywhere = np.arange(n)
-        keys = [column(everywhere, k) for k in range(SORTED)]
-        order = np.lexsort(keys[::-1])
-        keys = [k[order] for k in keys]
-
-        def bound(want: list[np.ndarray]) -> np.ndarray:
-            """First suffix that isn't less than want."""
-            lo, hi = np.zeros(len(want[0]), np.int64), np.full(len(want[0]), n)
-            while (open_ := lo < hi).any():
-                mid = (lo + hi) >> 1
-                at = np.minimum(mid, n - 1)
-                less, same = np.zeros(len(lo), bool), np.ones(len(lo), bool)
-                for k, w in zip(keys, want[:SORTED], strict=True):
-                    less |= same & (k[at] < w)
-                    same &= k[at] == w
-                lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-            return lo
-
-        first = bound(self.low)
-        count = bound(self.high) - first
+        there = np.bincount(codes, minlength=self.alphabet) > 0
+        there[:2] = True
+        rank = np.cumsum(there) - 1
+        bits = 8 if rank[-1] < 255 else 16
+        per, top = 64 // bits, np.uint64((1 << bits) - 1)
+        can = np.flatnonzero(there[self.codes].all(axis=1))  # pieces with other characters can't occur
+        pieces = rank[self.codes[can]].astype(np.uint64)
+        lengths = self.lengths[can]
+        wide = np.concatenate((rank[codes].astype(np.uint64), np.zeros(per, np.uint64)))
+        some = np.zeros(n, np.uint64)
+        for k in range(per):
+            some |= np.where(room > k, wide[k : n + k], np.uint64(0)) << np.uint64(bits * (per - 1 - k))
+
+        def column(c: int, filler: np.uint64) -> np.ndarray:
+            """The c-th number of each piece; filler stands after its end."""
+            out = np.zeros(len(can), np.uint64)
+            for k in range(per):
+                at = c * per + k
+                value = np.where(at < lengths, pieces[:, min(at, pieces.shape[1] - 1)], filler)
+                out |= value << np.uint64(bits * (per - 1 - k))
+            return out
+
+        order = np.argsort(some)
+        keys = some[order]
+        first = np.searchsorted(keys, column(0, np.uint64(0)), side="left")
+        count = np.searchsorted(keys, column(0, top), side="right") - first
         suffix = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start, k = order[suffix], np.repeat(np.arange(len(count)), count)
-        for c in range(SORTED, self.columns):
-            long = np.flatnonzero(self.lengths[k] > 4 * c)
+        for c in range(1, -(-self.longest // per)):
+            long = np.flatnonzero(lengths[k] > per * c)
             if len(long):
-                text = column(start[long], c)
-                wrong = long[(text < self.low[c][k[long]]) | (text > self.high[c][k[long]])]
-                start, k = np.delete(start, wrong), np.delete(k, wrong)
-        by_position = np.lexsort((self.lengths[k], start))
-        start, k = start[by_position], k[by_position]
-        return start, start + self.lengths[k], self.usable[k]
+                at = start[long] + per * c
+                text = np.where(room[start[long]] > per * c, some[np.minimum(at, n - 1)], np.uint64(0))
+                wrong = (text < column(c, np.uint64(0))[k[long]]) | (text > column(c, top)[k[long]])
+                keep = np.ones(len(k), bool)
+                keep[long[wrong]] = False
+                start, k = start[keep], k[keep]
+        return start, start + lengths[k], self.usable[can[k]]
 
     def encode_units(self, units: list[str]) -> list[bytes]:
         """Ids of each unit, as little-endian 32-bit numbers."""
@@ -269,14 +257,15 @@ class Codec:
         codes[inside] = self.code_of[points]
         text = np.zeros(len(codes), np.uint32)
         text[inside] = points
-        start, end, piece = self.edges(codes)
+        room = np.repeat(base + size, size + 1) - np.arange(len(codes))
+        start, end, piece = self.edges(codes, room)
         alone = np.ones(len(codes), bool)  # characters without a piece of their own are edges, too
         alone[start[end == start + 1]] = False
         alone &= text > 0
         alone[inside[points == 0]] = True
         start, end, piece = (np.concatenate(x) for x in ((start, np.flatnonzero(alone)), (end, np.flatnonzero(alone) + 1), (piece, np.full(alone.sum(), -1))))
         offset = start - np.repeat(base, size + 1)[start]
-        order = np.argsort(offset, kind="stable")
+        order = np.argsort(offset.astype(np.uint16) if size.max() < 1 << 16 else offset, kind="stable")  # edges by position in their unit
         start, end, piece, offset = start[order], end[order], piece[order], offset[order]
         at = np.searchsorted(offset, np.arange(int(size.max()) + 1))
         last, came = np.full(len(codes) + 1, -9, np.int64), np.full(len(codes) + 1, -1, np.int64)
