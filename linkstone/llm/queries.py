@@ -51,4 +51,11 @@ def op10_sentencepiece(spark, sf_dir, model=f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_quality, op4_substring_dedup, op5_exact_dedup, op6_url_filter, op7_token_counts, op8_decontamination, op9_jaccard_join, op10_sentencepiece)}
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE, "op8_decontamination": decontamination.ORACLE}
+#: Learnt scores, differencing, the automaton and merges can't be expressed in SQL.
+ORACLE_SQL = {
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_url_filter": url_filter.oracle(),
+    "op8_decontamination": decontamination.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
+}

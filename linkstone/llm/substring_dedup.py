@@ -308,3 +308,14 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return packed.join(marked, "doc_id", "left").select("doc_id", "z", "starts").mapInArrow(
         finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     )
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, p, array_to_string(w[p:p + 49], ' ') AS t FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+early AS (SELECT t, min(doc_id) AS m FROM win GROUP BY t HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS q FROM win JOIN early USING (t) WHERE doc_id > m),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY q) AS s FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM d) ANTI JOIN gone USING (r, q) GROUP BY r),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)
+"""

@@ -104,3 +104,35 @@ def url_verdicts(pages: DataFrame, rules=RULES, step: float = 0.02) -> DataFrame
     threshold = best * step if both else 0.0
     by_method = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("_fixed", by_method).alias("verdict"), F.round("score", 6).alias("score"))
+
+
+def oracle(rules=RULES, step: float = 0.02) -> str:
+    """The same rules and models in SQL of another engine."""
+    after = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    lower = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
+    fits = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))]
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
+    models = ""
+    for side in ("allow", "block"):
+        before = f"{1.0 / V!r}"
+        for k in (1, 2, 3):
+            models += f"""
+g_{side}{k} AS (SELECT substr(t, {4 - k}, {k}) AS own, sum(n)::DOUBLE AS n FROM counts WHERE fixed = '{side}' GROUP BY 1),
+a_{side}{k} AS (SELECT substr(own, 1, {k - 1}) AS context, sum(n) AS total, count(*) AS kinds FROM g_{side}{k} GROUP BY 1),
+p_{side}{k} AS (SELECT x.t, CASE WHEN total > 0 THEN (coalesce(g.n, 0) + kinds * {before}) / (total + kinds) ELSE {before} END AS p
+  FROM {'grid' if k == 1 else f'p_{side}{k - 1}'} x LEFT JOIN g_{side}{k} g ON g.own = substr(x.t, {4 - k}, {k}) LEFT JOIN a_{side}{k} a ON a.context = substr(x.t, {4 - k}, {k - 1})),"""
+            before = "x.p"
+    return f"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, coalesce({after}, '') AS after FROM pages),
+h AS (SELECT *, {lower("regexp_extract(after, '^([^/?#]*)', 1)")} AS host, regexp_extract(substr(after, len(regexp_extract(after, '^([^/?#]*)', 1)) + 1), '^([^?#]*)', 1) AS path FROM u),
+j AS (SELECT *, {case(1)} AS rule, {case(2)} AS fixed, concat('^^', regexp_replace(regexp_replace({lower('after')}, '[0-9]', '0', 'g'), '[^a-z0/.\\-_?=&#:%]', '*', 'g'), '$') AS s FROM h),
+e AS (SELECT r, fixed, unnest(list_transform(range(1, len(s) - 1), lambda i: substr(s, i, 3))) AS t FROM j),
+counts AS (SELECT fixed, t, count(*) AS n FROM e WHERE fixed IS NOT NULL GROUP BY ALL),
+abc AS (SELECT unnest(string_split('{ALPHABET}', '')) AS c), grid AS (SELECT concat(x.c, y.c, z.c) AS t FROM abc x, abc y, abc z),{models}
+ratio AS (SELECT t, ln(a.p) - ln(b.p) AS ratio FROM p_allow3 a JOIN p_block3 b USING (t)),
+sc AS (SELECT r, round(avg(ratio), 9) AS score FROM e JOIN ratio USING (t) GROUP BY r),
+bins AS (SELECT CAST(floor(greatest(-12.0, least(12.0, score)) / {step}) AS BIGINT) AS bin, count(*) FILTER (fixed = 'allow') AS good, count(*) FILTER (fixed = 'block') AS bad FROM sc JOIN j USING (r) WHERE fixed IS NOT NULL GROUP BY 1),
+gain AS (SELECT bin, sum(good) OVER (ORDER BY bin DESC) / greatest(1, sum(good) OVER ()) + 1 - sum(bad) OVER (ORDER BY bin DESC) / greatest(1, sum(bad) OVER ()) AS gain FROM bins),
+best AS (SELECT CASE WHEN (SELECT count(DISTINCT fixed) FROM j) = 2 THEN (SELECT bin FROM gain ORDER BY gain DESC, bin DESC LIMIT 1) * {step} ELSE 0.0 END AS threshold)
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN score >= (SELECT threshold FROM best) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM j JOIN sc USING (r)
+"""

@@ -286,12 +286,12 @@ def test_pipeline(spark, sf, docs, labels):
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in left} - dirty and len(corpus_pipeline.STAGES) == 5
 
 
-@pytest.mark.parametrize("name", ["op5_exact_dedup", "op8_decontamination"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, sf).select(*want.columns)
