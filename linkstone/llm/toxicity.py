@@ -5,15 +5,15 @@ A dictionary is trained on windows of ordinary text.  The toxic dictionary is
 trained on those stretches of toxic texts whose byte 5-grams occur in far more
 toxic than ordinary texts, and stands before the ordinary one, so that both
 compress ordinary prose alike and only toxic material makes a difference.  The
-other third of the sample calibrates: bins of bytes saved a window are weighed
-by logistic regression with the class shares of all labelled rows.
+other third of the sample calibrates: each number of bytes saved in a window gets
+its log-ratio of shares in toxic and ordinary texts, and logistic regression
+with the class shares of all labelled rows turns sums of these into a score.
 
 Score.  Every window of every text is compressed with either dictionary.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,7 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: list[float]
+    evidence: list[float]
 
     def compressors(self):
         import zstandard as zs
@@ -49,11 +50,22 @@ def windows(text: bytes) -> list[bytes]:
     return [text[i : i + WINDOW] for i in range(0, max(1, len(text) - WINDOW + STRIDE), STRIDE)]
 
 
-def features(text: bytes, ordinary, toxic) -> list[float]:
-    """Statistics of the bytes that the toxic dictionary saves in the windows of a text."""
+#: Bytes saved in a window are counted from LEAST to MOST.
+LEAST, MOST = -3, 9
+
+
+def saved_counts(text: bytes, ordinary, toxic) -> np.ndarray:
+    """How many windows of a text are so many bytes shorter with the toxic dictionary."""
     saved = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(text)])
-    n = len(saved)
-    return [1.0, float(saved.mean()), float((saved >= 2).mean()), float((saved >= 4).mean()), float(np.clip(saved.max(), -8, 8)) / 8, math.log1p(float((saved >= 3).sum())) / math.log(n + 2)]
+    return np.bincount(np.clip(saved, LEAST, MOST) - LEAST, minlength=MOST - LEAST + 1)
+
+
+def features(counts: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """For each row of saved_counts: a constant, the evidence of all windows, of the mean one, of the most telling one, and the length."""
+    counts = np.atleast_2d(counts)
+    n, total = counts.sum(axis=1), counts @ evidence
+    most = np.where(counts > 0, evidence, -np.inf).max(axis=1)
+    return np.column_stack([np.ones(len(n)), total / 4, 10 * total / n, most, np.log(n)])
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -113,11 +125,15 @@ def fit_sample(texts: list[bytes], toxic: np.ndarray, share: float, seed: int =
     stretches = marked_stretches(bad, good) or [w for t in bad for w in windows(t)]
     stretches = [stretches[i] for i in rng.permutation(len(stretches))]
     joined = [b" ".join(stretches[i : i + 8]) for i in range(0, len(stretches), 8)]
-    model = Model(_dictionary(picked, ORDINARY_BYTES), _dictionary(joined, TOXIC_BYTES, k=16, d=6), [])
+    model = Model(_dictionary(picked, ORDINARY_BYTES), _dictionary(joined, TOXIC_BYTES, k=16, d=6), [], [])
     ordinary, tox = model.compressors()
     held = np.flatnonzero(~part) if not part.all() else np.arange(len(texts))
-    x = np.array([features(texts[i], ordinary, tox) for i in held])
+    counts = np.array([saved_counts(texts[i], ordinary, tox) for i in held])
     y = toxic[held].astype(float)
+    # a window's evidence: log-ratio of the shares of its bin in toxic and ordinary texts
+    share_of = lambda rows: (rows.sum(axis=0) + 0.5) / (rows.sum() + 0.5 * counts.shape[1])
+    model.evidence = [float(v) for v in np.log(share_of(counts[y > 0]) / share_of(counts[y == 0]))]
+    x = features(counts, np.array(model.evidence))
     weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     w = np.zeros(x.shape[1])
     for _ in range(50):  # Newton's method with a small ridge
@@ -136,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sampl
 
     The sample is chosen by a hash of doc_id; its ids (bounded) are broadcast, so
     the texts of other rows never move.  One task fits, and sends back two
-    dictionaries and six weights.
+    dictionaries and some twenty numbers.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out("doc_id", folds, fold))
     counts = {r["toxic"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -150,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sampl
 
         pdf = pdf.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
         model = fit_sample([(t or "").encode() for t in pdf["text"]], (pdf["toxic"] > 0).to_numpy(), share)
-        return pdf.head(1).assign(model=pickle.dumps(model and (model.ordinary, model.toxic, model.weights)))[["model"]]
+        return pdf.head(1).assign(model=pickle.dumps(model and (model.ordinary, model.toxic, model.weights, model.evidence)))[["model"]]
 
     import pickle
 
@@ -165,9 +181,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         if model:
             ordinary, tox = model.compressors()
-            w = np.array(model.weights)
+            w, evidence = np.array(model.weights), np.array(model.evidence)
         for b in batches:
-            scores = [1 / (1 + math.exp(-float(np.clip(np.dot(features(t, ordinary, tox), w), -30, 30)))) if model else 0.0 for t in as_bytes(b.column(1))]
+            scores = np.zeros(b.num_rows)
+            if model and b.num_rows:
+                counts = np.array([saved_counts(t, ordinary, tox) for t in as_bytes(b.column(1))])
+                scores = 1 / (1 + np.exp(-np.clip(features(counts, evidence) @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

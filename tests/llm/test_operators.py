@@ -112,7 +112,7 @@ def test_toxic_words_decide():
     y = np.arange(300) % 3 == 0
     model = toxicity.fit_sample([make(b) for b in y], y, 1 / 3)
     tools = model.compressors()
-    value = lambda t: float(np.dot(toxicity.features(t, *tools), model.weights))
+    value = lambda t: float((toxicity.features(toxicity.saved_counts(t, *tools), np.array(model.evidence)) @ model.weights)[0])
     held = [(value(make(True)) > 0, value(make(False)) < 0) for _ in range(40)]
     assert np.mean(held) > 0.9
 
