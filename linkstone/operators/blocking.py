@@ -120,16 +120,18 @@ def probes(queries: DataFrame, idf: DataFrame | None, profile: str = "P", defaul
     return k.withColumn("probe_no", F.col("pos"))
 
 
-def block(queries: DataFrame, targets: DataFrame, profile: str = "P", idf: DataFrame | None = None, top_k: int | None = None) -> DataFrame:
+def block(queries: DataFrame, targets: DataFrame, profile: str = "P", idf: DataFrame | None = None, top_k: int | None = None, only: str | None = None) -> DataFrame:
     """(s1, source, target, block_score, cand_pos): the best targets of each query, by score, then target order.
 
-    In profile L both sources share one list; cand_pos counts within it.
+    only: candidates of this channel alone.  In profile L both sources share one list; cand_pos counts within it.
     """
     posts = cut(postings(targets, profile), "postings")
     live = admitted(posts, profile).withColumnRenamed("entity_id", "target").withColumnRenamed("seq", "target_seq").drop("pos")
     if profile == "P" and idf is None:
         idf = idf_production(posts, targets)
     look = probes(queries.select("entity_id", *SHARD, "seq", "tokens", *(["addr_keys", "compressed", "door", "pin"] if profile != "L" else [])), idf, profile)
+    if only is not None:
+        look, live = look.where(F.col("channel") == only), live.where(F.col("channel") == only)
     weight = F.col("weight")
     for c in CHANNELS[profile]:
         if c.first is not None and c.weaken != 1.0:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkstone.sources.scratch import cut
+
 
 def bucket(id_col: str, n: int, seed: int = 42) -> Column:
     """A reproducible number from 0 to n - 1: the first 28 bits of the MD5 of id and seed, modulo n."""
@@ -25,9 +27,24 @@ def split(rows: DataFrame, id_col: str, train_percent: int = 80) -> DataFrame:
 
 
 def split_by_position(rows: DataFrame, order: str, percent: int = 80) -> DataFrame:
-    """The first percent of the rows in order are for training."""
-    n = rows.count()
-    return rows.withColumn("part", F.when(F.expr(f"row_number() OVER (ORDER BY {order})") <= n * percent // 100, "train").otherwise("validation"))
+    """The first percent of the rows in order are for training.
+
+    Rows are sorted by range partitions; a row's place is the count of the
+    partitions before its own plus its place there, so no task sees all rows.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = cut(rows.orderBy(order).select("*", F.spark_partition_id().alias("_part"), place.alias("_place")), "ordered")
+    counts = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, offset, before = sum(counts.values()), F.lit(0), 0
+    for p in sorted(counts):
+        offset = F.when(F.col("_part") == p, F.lit(before)).otherwise(offset)
+        before += counts[p]
+    return ordered.withColumn("part", F.when(offset + F.col("_place") < total * percent // 100, "train").otherwise("validation")).drop("_part", "_place")
+
+
+def needed_targets(truth: DataFrame) -> DataFrame:
+    """All target ids of lists (s1_id, target_ids)."""
+    return truth.select(F.explode("target_ids").alias("entity_id")).distinct()
 
 
 def hard_negatives(candidates: DataFrame, truth: DataFrame, per_query: int = 4) -> DataFrame:

@@ -98,6 +98,11 @@ def addr_keys(spark, sf_dir):
     return T.profiled(_records(spark, sf_dir)).select("entity_id", F.array_join("addr_keys", " ").alias("addr_keys"))
 
 
+@query
+def transliterate(spark, sf_dir):
+    return _records(spark, sf_dir, "documents").select("entity_id", T.transliterate(F.col("business_name")).alias("name"))
+
+
 # --- blocking ------------------------------------------------------------------------------------------------------
 
 
@@ -124,19 +129,26 @@ def stop_key_prune(spark, sf_dir):
     return blocking.pruned_keys(blocking.postings(targets, "V6"), "V6", per=10)
 
 
-def _block(profile):
+@query
+def postings_token(spark, sf_dir):
+    posts = blocking.postings(_sides(_records(spark, sf_dir))[1])
+    return posts.where("channel = 'token'").select("country", "source", F.col("key").alias("token"), "entity_id")
+
+
+def _block(profile, only=None):
     def run(spark, sf_dir):
         r = _records(spark, sf_dir)
         a, b = _sides(r, profile)
         idf = None
         if profile == "C":
             idf = blocking.idf_lexicon(r.withColumn("tokens", T.name_tokens("business_name", "IDF")))
-        return _round(blocking.block(a, b, profile, idf))
+        return _round(blocking.block(a, b, profile, idf, only=only))
 
     return run
 
 
 QUERIES |= {"block_multi_topk": _block("P"), "block_v6": _block("V6"), "block_champ": _block("C"), "block_basic": _block("L")}
+QUERIES |= {"block_token": _block("P", "token"), "block_anchor": _block("P", "addr_key"), "block_pin": _block("P", "pin"), "block_prefix": _block("P", "prefix")}
 
 
 @query
@@ -194,6 +206,22 @@ def partial_ratio(spark, sf_dir):
     return _round(rows.select("s1", "target", S.partial_ratio("a_clean_name", "b_clean_name").alias("name_partial_ratio")))
 
 
+def _similarity(f, a, b, profile="P"):
+    def run(spark, sf_dir):
+        rows, _, _ = _pairs(spark, sf_dir, profile)
+        return _round(rows.select("s1", "target", f(F.col("a_" + a), F.col("b_" + b)).alias("similarity")))
+
+    return run
+
+
+QUERIES |= {
+    "indel_ratio": _similarity(S.indel_ratio, "clean_name", "clean_name"), "token_sort_ratio": _similarity(S.token_sort_ratio, "clean_name", "clean_name"),
+    "token_set_ratio": _similarity(S.token_set_ratio, "clean_name", "clean_name"), "jaro_winkler": _similarity(S.jaro_winkler_similarity, "clean_name", "clean_name"),
+    "char_trigram_jaccard": _similarity(S.trigram_jaccard, "compressed", "compressed"), "token_jaccard": _similarity(S.jaccard, "tokens", "tokens"),
+    "token_containment": _similarity(S.containment, "tokens", "tokens"),
+}
+
+
 # --- scores and resolution -----------------------------------------------------------------------------------------
 
 
@@ -344,6 +372,18 @@ def hash_split(spark, sf_dir):
     return training.split(_records(spark, sf_dir).where("source = 'S1'"), "entity_id").select("entity_id", "part")
 
 
+@query
+def position_split(spark, sf_dir):
+    return training.split_by_position(_records(spark, sf_dir).where("source = 'S1'"), "seq").select("entity_id", "part")
+
+
+@query
+def needed_targets(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    sampled = _truth(r).join(training.split(r.where("source = 'S1'"), "entity_id", 20).where("part = 'train'").select(F.col("entity_id").alias("s1")), "s1", "left_semi")
+    return training.needed_targets(sampled.groupBy(F.col("s1").alias("s1_id")).agg(F.collect_list("target").alias("target_ids")))
+
+
 @query
 def auc(spark, sf_dir):
     rows, _, r = _scored(spark, sf_dir)
@@ -391,6 +431,19 @@ def validate_lists(spark, sf_dir):
     return validation.list_rules(rows, required, known).select("rule", "level", "n", F.array_join("examples", ",").alias("examples"))
 
 
+def _validate(rule):
+    def run(spark, sf_dir):
+        return validate_lists(spark, sf_dir).where(F.col("rule").isin(rule))
+
+    return run
+
+
+QUERIES |= {
+    "validate_duplicates": _validate(["duplicate_query", "repeated_id"]), "validate_prefix": _validate(["self_match", "bad_prefix"]),
+    "validate_required": _validate(["missing_query", "extra_query"]), "validate_unknown_ids": _validate(["unknown_id"]),
+}
+
+
 @query
 def validate_subset(spark, sf_dir):
     rows, _ = _broken_lists(spark, sf_dir)

@@ -116,7 +116,7 @@ def key_rows(table: str, where: str, profile: str, distinct: bool) -> str:
     return "\nUNION ALL ".join(out)
 
 
-def blocked(profile: str = "P", top_k: int | None = None, name: str = "b") -> str:
+def blocked(profile: str = "P", top_k: int | None = None, name: str = "b", only: str | None = None) -> str:
     """CTEs over `p`, ending in `name`: s1, source, target, target_seq, block_score, cand_pos."""
     channels = blocking.CHANNELS[profile]
     admit = " OR ".join(f"(channel = '{c.name}' AND (df <= {c.cap}{f' OR rank <= {c.first}' if c.first else ''}))" for c in channels)
@@ -137,7 +137,7 @@ live AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY country, source, c
 look AS (SELECT k.entity_id AS s1, k.country, s.source, channel, key, pos FROM ({key_rows('p', "source = 'S1'", profile, profile != 'P')}) k, (VALUES ('S2'), ('S3')) s(source)),
 probe AS ({token} UNION ALL SELECT s1, country, source, channel, key, CASE channel {weights or "WHEN '' THEN 0"} END FROM look WHERE channel <> 'token'),
 summed AS (SELECT s1, q.source, l.entity_id AS target, l.seq AS target_seq, round(sum(q.weight * {weaken}), 6) AS block_score
-  FROM probe q JOIN live l ON q.country = l.country AND q.source = l.source AND q.channel = l.channel AND q.key = l.key GROUP BY ALL),
+  FROM probe q JOIN live l ON q.country = l.country AND q.source = l.source AND q.channel = l.channel AND q.key = l.key{f" WHERE q.channel = '{only}'" if only else ""} GROUP BY ALL),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY block_score DESC, target_seq, target) AS cand_pos FROM summed) WHERE cand_pos <= {top_k or blocking.TOP_K[profile]})"""
 
 
@@ -323,6 +323,10 @@ def _clean(profile: str) -> str:
     return f"SELECT entity_id, array_to_string(t, ' ') AS clean_name, array_to_string(t, '') AS compressed, array_to_string(list_sort({core('t', profile)}), ' ') AS core FROM (SELECT entity_id, {tokens('business_name', profile)} AS t FROM ({records()}))"
 
 
+def _similarity(value: str) -> str:
+    return f"WITH {profiled()}, {pairs_by_door()}, {compared('an', 'bn', 'n', 'pr')} SELECT s1, target, {rounded({'similarity': value})} FROM n"
+
+
 _BLOCK = "SELECT s1, source, target, block_score, CAST(cand_pos AS INT) AS cand_pos FROM b"
 _SORTED = lambda c: f"array_to_string(list_sort({c}), ',')"
 _A = "business_address"
@@ -373,6 +377,15 @@ ORACLE_SQL = {
     "auc": f"""WITH {scored()}, x AS (SELECT prob, t.s1 IS NOT NULL AS y FROM sc LEFT JOIN truth t ON t.s1 = sc.s1 AND t.target = sc.target),
       r AS (SELECT y, prob, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS rk, count(*) OVER (ORDER BY prob DESC) AS above, count(*) FILTER (y) OVER (ORDER BY prob DESC) AS good FROM x)
       SELECT round((sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS auc_roc, round(sum(good / above) FILTER (y) / count(*) FILTER (y), 6) AS average_precision FROM r""",
+    "transliterate": f"SELECT entity_id, {fold('business_name')} AS name FROM ({records('documents')})",
+    "postings_token": f"WITH {profiled()}, {blocked()} SELECT country, source, key AS token, entity_id FROM posts WHERE channel = 'token'",
+    **{f"block_{n}": f"WITH {profiled()}, {blocked(only=c)} {_BLOCK}" for n, c in (("token", "token"), ("anchor", "addr_key"), ("pin", "pin"), ("prefix", "prefix"))},
+    "indel_ratio": _similarity("n_ratio"), "token_sort_ratio": _similarity("n_sort"), "token_set_ratio": _similarity("n_set"), "jaro_winkler": _similarity("jaro_winkler_similarity(an, bn)"),
+    "char_trigram_jaccard": _similarity(f"CASE WHEN ac = '' OR bc = '' THEN 0.0 WHEN len(ac) < 3 OR len(bc) < 3 THEN {flag('ac = bc')} ELSE {jac(_GRAMS('ac'), _GRAMS('bc'))} END"),
+    "token_jaccard": _similarity(jac("atok", "btok")), "token_containment": _similarity(contain("atok", "btok")),
+    "position_split": f"SELECT entity_id, CASE WHEN row_number() OVER (ORDER BY seq) <= count(*) OVER () * 80 // 100 THEN 'train' ELSE 'validation' END AS part FROM ({records()}) WHERE source = 'S1'",
+    "needed_targets": f"WITH r AS ({records()}) SELECT DISTINCT t.entity_id FROM r a JOIN r t ON a.entity = t.entity WHERE a.source = 'S1' AND t.source <> 'S1' AND {_MD5('a.entity_id')} < 20",
+    **{n: f"SELECT * FROM ({VALIDATE}) WHERE rule IN ({', '.join(map(text, rules))})" for n, rules in (("validate_duplicates", ["duplicate_query", "repeated_id"]), ("validate_prefix", ["self_match", "bad_prefix"]), ("validate_required", ["missing_query", "extra_query"]), ("validate_unknown_ids", ["unknown_id"]))},
     "validate_lists": VALIDATE, "validate_subset": SUBSET,
     "invariants": "SELECT unnest(['two_owners', 'over_cap', 'outside_candidates', 'other_country']) AS invariant, CAST(0 AS BIGINT) AS n",
 }
