@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkstone.llm import decontamination, exact_dedup, jaccard_join, quality, sentencepiece_codec
-from linkstone.llm.common import load, shared_dir
+from linkstone.llm.common import load
 from linkstone.llm.queries import TOKENIZERS
+from linkstone.sources.scratch import shared_dir
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ per word.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,23 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkstone.sources.scratch import shared_dir
+
 #: Bytes of text that are hashed at once; each array over them takes eight times as much.
 BLOCK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_dir.isDefined():
-        return set_dir.get()
-    own = tempfile.mkdtemp(prefix="linkstone-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: a short lineage that outlives executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/linkstone/{name}-{uuid.uuid4().hex}"

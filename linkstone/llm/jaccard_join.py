@@ -272,7 +272,9 @@ def voronoi(members: DataFrame, regions: list[int], pivots: int, turn: int) -> t
             yield pd.DataFrame(out, columns=["region", "rep", "n", "z", "ball", "pivot", "parent"]).astype({"region": "Int64", "pivot": "Int64", "ball": "boolean"})
 
     dealt = cut(some.select("region", "rep", "n", "z").mapInPandas(run, _MEMBER + ", pivot long, parent long"), "regions")
-    return dealt.where("region IS NOT NULL").drop("pivot"), dealt.where("region IS NULL").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    kept = dealt.where("region IS NOT NULL").drop("pivot")
+    kept._shared_path = dealt._shared_path
+    return kept, dealt.where("region IS NULL").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
 
 
 def tiles(members: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
@@ -309,11 +311,12 @@ def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int
     wanted = assigned.join(classes, ["fp", "n"]).select("region", "rep", "n")
     texts = compressed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = cut(wanted.join(texts, wanted["rep"] == texts["doc_id"]).select("region", "rep", "n", "z", F.lit(False).alias("ball")), "members")
-    found, turn = [], 0
+    found, used, turn = [], [assigned, members], 0
     while True:
         sizes = cut(members.groupBy("region").agg(F.countDistinct("rep").alias("members"), F.sum("n").alias("shingles"), F.count_if(~F.col("ball")).alias("outside")), "sizes")
         fits = (F.col("members") <= capacity) & (F.col("shingles") <= weight)
         live = sizes.where("members > 1 AND outside > 0")
+        used.append(sizes)
         found.append(cut(solve(members.join(live.where(fits).select("region"), "region", "left_semi")), "links"))
         large = live.where(~fits)
         ids = [r["region"] for r in large.select("region").orderBy("region").collect()]
@@ -324,14 +327,19 @@ def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int
             part, near = voronoi(members, ids[i : i + block], pivots, turn)
             dealt = part if dealt is None else dealt.unionByName(part)
             found.append(near)
+            used.append(part)
         after = dealt.groupBy("parent").agg(F.count(F.lit(1)).alias("after"))
         turn += 1
         stuck = cut(large.join(after, large["region"] == after["parent"]).where((F.col("after") > growth * F.col("members")) | F.lit(turn == rounds)).select("region", "members", "outside"), "stuck")
+        used.append(stuck)
         found.append(cut(solve(tiles(members.join(stuck.select("region"), "region", "left_semi"), stuck, capacity // 2)), "links"))
         members = dealt.join(stuck.select(F.col("region").alias("parent")), "parent", "left_anti").drop("parent")
     edges = found[0]
     for e in found[1:]:
         edges = edges.unionByName(e)
+    edges = cut(edges, "forest")
+    for table in [*used, *found]:
+        drop(table)
     return edges
 
 

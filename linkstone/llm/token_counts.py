@@ -8,6 +8,7 @@ symbol by symbol: the counts are added up, and no piece is ever built.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import deque
 
@@ -21,7 +22,7 @@ from .common import as_bytes
 REMEMBERED = 1 << 18
 
 
-def byte_level(symbol_map: bool = True) -> dict[str, int]:
+def byte_level() -> dict[str, int]:
     """The usual printable stand-ins of bytes in byte-level vocabularies: character -> byte."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -101,7 +102,7 @@ class Counts(dict):
         return n
 
 
-_made: dict[int, Counts] = {}
+_made: dict[str, Counts] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
@@ -112,7 +113,7 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    key = id(shared)
+    key = hashlib.sha256(b"\0".join(vocabulary)).hexdigest()
 
     def run(batches):
         if key not in _made:
