@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     own = tempfile.mkdtemp(prefix="linkstone-")  # nothing is set, as in tests
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     context.setCheckpointDir(own)
     return own
 
