@@ -14,6 +14,7 @@ edges are relaxed by that condition, and the ids are those of the merges.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -26,7 +27,7 @@ from .common import as_bytes, flushes
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Units whose ids a worker remembers.
-REMEMBERED = 3 << 18
+REMEMBERED = 1 << 18
 #: Text of a batch.
 BATCH_BYTES = 6 << 20
 
@@ -66,6 +67,7 @@ class Model:
     prefix: bool
     byte_ids: dict[int, int] = field(default_factory=dict)
     unknown: int = 0
+    name: str = ""
 
 
 def read_model(path: str) -> Model:
@@ -88,7 +90,7 @@ def read_model(path: str) -> Model:
             prefix = bool(f.get(3, 1))
     kinds = np.array(kinds)
     byte_ids = {int(pieces[i][1:-1], 16): i for i in np.flatnonzero(kinds == BYTE).tolist()}
-    return Model(pieces, np.array(scores), kinds, merges, prefix, byte_ids, int(np.flatnonzero(kinds == UNKNOWN)[0]))
+    return Model(pieces, np.array(scores), kinds, merges, prefix, byte_ids, int(np.flatnonzero(kinds == UNKNOWN)[0]), hashlib.sha256(raw).hexdigest())
 
 
 class Codec:
@@ -343,11 +345,12 @@ class Codec:
         return (raw[1:] if self.model.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-_made: dict[int, Codec] = {}
+_made: dict[str, Codec] = {}
 
 
 def _codec(shared) -> Codec:
-    key = shared.value.scores.tobytes()[:64].__hash__() ^ len(shared.value.pieces)
+    """The worker's codec of a broadcast model; it keeps the last one."""
+    key = shared.value.name
     if key not in _made:
         _made.clear()
         _made[key] = Codec(shared.value)
@@ -389,8 +392,6 @@ def encode_and_check(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import hashlib
-
         codec = _codec(shared)
         rows = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True))
         for part in flushes(rows, BATCH_BYTES):
