@@ -1,14 +1,15 @@
 """Exact Jaccard join of documents by pivots and regions of the Jaccard metric.
 
-Documents are sets of distinct SHINGLE-word shingles; two link when their Jaccard
-distance is at most EPS = 0.15 (100 * intersection >= 85 * union).
+Documents are sets of distinct shingles of `shingle` words; two link when their
+Jaccard distance is at most EPS = 1 - percent / 100 (100 * intersection >=
+percent * union).  SHINGLE and PERCENT, 4 and 85, are those of op9_jaccard_join.
 
 1. Equal sets are one class; from then on a class stands for its documents.
 2. First regions.  The distance of unrelated documents is 1 from any pivot, so
    documents as pivots can't tell them apart.  The first pivots are therefore
    single shingles: a document is nearest to those it has, ties go to the rarest
    one in a global order, and by the threshold it must be replicated to its
-   first n - ceil(0.85 n) + 1 shingles; linked documents share one of those.
+   first n - ceil((1 - EPS) n) + 1 shingles; linked documents share one of those.
    Rarity comes from a fixed-size sketch of counts over all documents.  The
    documents at a shingle join the region of the one with the smallest
    fingerprint, which becomes the region's pivot.
@@ -37,7 +38,6 @@ from .common import NOT_SPACE, as_bytes, blocks, compressed, cut, drop, flushes,
 from .substring_dedup import group_of, pack5, unpack5
 
 SHINGLE, PERCENT = 4, 85
-EPS = 1 - PERCENT / 100
 #: Counters of the rarity sketch: its size is fixed, whatever the corpus.
 SKETCH = 1 << 21
 CHUNKS = 32
@@ -45,21 +45,21 @@ GROUP_BYTES = 64 << 20
 LOW = np.uint64((1 << 40) - 1)
 
 
-def linked(inter: np.ndarray, a, b) -> np.ndarray:
-    return (100 * inter >= PERCENT * (a + b - inter)) & (inter > 0)
+def linked(inter: np.ndarray, a, b, percent: int = PERCENT) -> np.ndarray:
+    return (100 * inter >= percent * (a + b - inter)) & (inter > 0)
 
 
-def sets_of(texts: list[bytes]) -> list[np.ndarray]:
+def sets_of(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than a shingle count as one."""
     out = []
     for begin, end in blocks(texts):
         w = hash_words(texts[begin:end], NOT_SPACE, lower=True)
         n, owner = np.diff(w.first), w.owner()
-        h = w.windows(SHINGLE)
+        h = w.windows(shingle)
         own = owner[: len(h)]
-        ok = np.flatnonzero(own == owner[SHINGLE - 1 :]) if len(h) else np.empty(0, int)
+        ok = np.flatnonzero(own == owner[shingle - 1 :]) if len(h) else np.empty(0, int)
         h, own = h[ok], own[ok]
-        short = [(d, window_hashes(w.hash[w.first[d] : w.first[d + 1]], int(n[d]))[0]) for d in np.flatnonzero((n > 0) & (n < SHINGLE)).tolist()]
+        short = [(d, window_hashes(w.hash[w.first[d] : w.first[d + 1]], int(n[d]))[0]) for d in np.flatnonzero((n > 0) & (n < shingle)).tolist()]
         if short:
             h, own = np.concatenate((h, np.array([s[1] for s in short], np.uint64))), np.concatenate((own, [s[0] for s in short]))
         order = np.lexsort((h, own))
@@ -80,7 +80,7 @@ def _rows_of(batches):
     return ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True))
 
 
-def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def survey(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, fp) of every row, and the sketch of document counts of all shingles; one scan."""
 
     def run(batches):
@@ -88,7 +88,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
         count = np.zeros(SKETCH, np.int32)
         for rows in flushes(_rows_of(batches)):
-            sets = sets_of([t for _, t in rows])
+            sets = sets_of([t for _, t in rows], shingle)
             count += np.bincount((np.concatenate(sets) >> np.uint64(40)) % np.uint64(SKETCH), minlength=SKETCH).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d for d, _ in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())],
@@ -120,7 +120,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return both.where("chunk IS NULL").select("doc_id", "n", "fp"), sketch
 
 
-def first_regions(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def first_regions(docs: DataFrame, sketch: np.ndarray, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(region, fp, n), distinct: the classes that meet at a single-shingle pivot, by the smallest fingerprint there."""
     groups = 16 + total_bytes(docs) // GROUP_BYTES
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -129,13 +129,13 @@ def first_regions(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         often = shared.value
         for rows in flushes(_rows_of(batches)):
             classes = {}
-            for s in sets_of([t for d, t in rows if d is not None]):
+            for s in sets_of([t for d, t in rows if d is not None], shingle):
                 if len(s):
                     classes.setdefault(fingerprint(s), s)
             hs, which = [], []
             for k, s in enumerate(classes.values()):
                 n = len(s)
-                first = n - -(-PERCENT * n // 100) + 1
+                first = n - -(-percent * n // 100) + 1
                 hs.append(s[np.lexsort((s, often[(s >> np.uint64(40)) % np.uint64(SKETCH)]))[:first]])
                 which.append(np.full(first, k))
             if not hs:
@@ -158,7 +158,7 @@ def first_regions(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         order = np.lexsort((n, h))
         h, fp, n = h[order], fp[order], n[order].astype(np.int64)
         # members of a shingle in order of size: no link crosses a gap in which even a subset is too small
-        gap = (h[1:] != h[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
+        gap = (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])
         at = np.concatenate(([0], np.flatnonzero(gap) + 1, [len(h)]))
         pivot = np.repeat(np.minimum.reduceat(fp, at[:-1]), np.diff(at))
         top = np.repeat(np.maximum.reduceat(fp, at[:-1]), np.diff(at))
@@ -195,11 +195,11 @@ class Inverted:
         return np.bincount(self.owner[entry], minlength=len(self.size))
 
 
-def forest(sets: list[np.ndarray], skip: np.ndarray | None = None, pivots: int = 8) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], skip: np.ndarray | None = None, pivots: int = 8, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Edges that connect what is linked. skip marks members that are already connected with each other."""
     if len(sets) == 2:
         shared = len(np.intersect1d(*sets, assume_unique=True))
-        return [(0, 1)] if linked(np.int64(shared), len(sets[0]), len(sets[1])) else []
+        return [(0, 1)] if linked(np.int64(shared), len(sets[0]), len(sets[1]), percent) else []
     index = Inverted(sets)
     label, far, edges = np.arange(len(sets)), [], []
     if skip is not None and skip.any():
@@ -207,14 +207,14 @@ def forest(sets: list[np.ndarray], skip: np.ndarray | None = None, pivots: int =
     for i in range(len(sets)):
         open_ = label != label[i]
         for d in far:
-            open_ &= np.abs(d - d[i]) <= EPS + 1e-9
+            open_ &= np.abs(d - d[i]) <= 1 - percent / 100 + 1e-9
         if not open_.any() or not len(index.shingles[i]):
             continue
         inter = index.shared(i)
         union = index.size + index.size[i] - inter
         if len(far) < pivots:
             far.append(1 - inter / np.maximum(union, 1))
-        for j in np.flatnonzero(open_ & linked(inter, index.size, index.size[i])).tolist():
+        for j in np.flatnonzero(open_ & linked(inter, index.size, index.size[i], percent)).tolist():
             if label[j] != label[i]:
                 edges.append((i, j))
                 label[label == label[j]] = label[i]
@@ -224,48 +224,48 @@ def forest(sets: list[np.ndarray], skip: np.ndarray | None = None, pivots: int =
 _MEMBER = "region long, rep long, n long, z binary, ball boolean"
 
 
-def _unpack(zs_blobs) -> list[np.ndarray]:
+def _unpack(zs_blobs, shingle: int) -> list[np.ndarray]:
     import zstandard as zs
 
     unpack = zs.ZstdDecompressor().decompress
-    return sets_of([unpack(z) for z in zs_blobs])
+    return sets_of([unpack(z) for z in zs_blobs], shingle)
 
 
-def solve(members: DataFrame, weight: int = 1_000_000) -> DataFrame:
+def solve(members: DataFrame, weight: int = 1_000_000, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): a spanning forest of the links in each region that fits in a task; a task gets regions of about weight shingles together."""
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
     def run(pdf):
         pdf = pdf.drop_duplicates(["region", "rep", "ball"]).sort_values(["region", "rep"], kind="stable")
-        sets, rep, ball, out = _unpack(pdf["z"]), pdf["rep"].to_numpy(), pdf["ball"].to_numpy(bool), []
+        sets, rep, ball, out = _unpack(pdf["z"], shingle), pdf["rep"].to_numpy(), pdf["ball"].to_numpy(bool), []
         at = runs(pdf["region"].to_numpy())
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            out += [(rep[a + i], rep[a + j]) for i, j in forest(sets[a:b], ball[a:b])]
+            out += [(rep[a + i], rep[a + j]) for i, j in forest(sets[a:b], ball[a:b], percent=percent)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     task = F.pmod(F.xxhash64("region"), F.lit(1 + int(total // weight)))
     return members.withColumn("_task", task).groupBy("_task").applyInPandas(run, "a long, b long")
 
 
-def voronoi(members: DataFrame, regions: list[int], pivots: int, turn: int) -> tuple[DataFrame, DataFrame]:
+def voronoi(members: DataFrame, regions: list[int], pivots: int, turn: int, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Members of the regions dealt to pivots, with replicas inside the windows; and their links to pivots."""
     spark = members.sparkSession
     some = members.where(F.col("region").isin(regions))
     ranked = some.withColumn("_k", F.expr(f"row_number() OVER (PARTITION BY region ORDER BY xxhash64(rep, {turn}), rep)")).where(F.col("_k") <= pivots)
     centres: dict[int, list[tuple[int, np.ndarray]]] = {}
     for r in ranked.select("region", "rep", "z", "_k").orderBy("region", "_k").collect():
-        centres.setdefault(r["region"], []).append((r["rep"], _unpack([bytes(r["z"])])[0]))
+        centres.setdefault(r["region"], []).append((r["rep"], _unpack([bytes(r["z"])], shingle)[0]))
     shared = spark.sparkContext.broadcast(centres)
 
     def run(frames):
         for pdf in frames:
-            out, sets = [], _unpack(pdf["z"])
+            out, sets = [], _unpack(pdf["z"], shingle)
             for region, rep, n, z, s in zip(pdf["region"], pdf["rep"], pdf["n"], pdf["z"], sets, strict=True):
                 ps = shared.value[region]
                 inter = np.array([np.isin(p, s, assume_unique=True).sum() for _, p in ps])
                 union = np.array([len(p) for _, p in ps]) + len(s) - inter
-                d, near = 1 - inter / np.maximum(union, 1), linked(inter, union + inter - len(s), len(s))
-                for k in np.flatnonzero(d <= d.min() + 2 * EPS + 1e-9).tolist():
+                d, near = 1 - inter / np.maximum(union, 1), linked(inter, union + inter - len(s), len(s), percent)
+                for k in np.flatnonzero(d <= d.min() + 2 * (1 - percent / 100) + 1e-9).tolist():
                     name = int(mix(np.array([region], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(turn * 1009 + k + 1)).view(np.int64)[0])
                     out.append((name, rep, n, z, bool(near[k]) or rep == ps[k][0], None, region))
                 out += [(None, rep, n, None, None, ps[k][0], region) for k in np.flatnonzero(near).tolist() if ps[k][0] != rep]
@@ -305,9 +305,9 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
-def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int = 4096, weight: int = 4_000_000, pivots: int = 16, growth: float = 4.0, rounds: int = 8, block: int = 32) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int = 4096, weight: int = 4_000_000, pivots: int = 16, growth: float = 4.0, rounds: int = 8, block: int = 32, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): representatives of classes whose links connect the same components as all links do."""
-    assigned = cut(first_regions(docs, sketch), "assigned")
+    assigned = cut(first_regions(docs, sketch, shingle, percent), "assigned")
     wanted = assigned.join(classes, ["fp", "n"]).select("region", "rep", "n")
     texts = compressed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = cut(wanted.join(texts, wanted["rep"] == texts["doc_id"]).select("region", "rep", "n", "z", F.lit(False).alias("ball")), "members")
@@ -317,14 +317,14 @@ def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int
         fits = (F.col("members") <= capacity) & (F.col("shingles") <= weight)
         live = sizes.where("members > 1 AND outside > 0")
         used.append(sizes)
-        found.append(cut(solve(members.join(live.where(fits).select("region"), "region", "left_semi")), "links"))
+        found.append(cut(solve(members.join(live.where(fits).select("region"), "region", "left_semi"), shingle=shingle, percent=percent), "links"))
         large = live.where(~fits)
         ids = [r["region"] for r in large.select("region").orderBy("region").collect()]
         if not ids:
             break
         dealt = None
         for i in range(0, len(ids), block):
-            part, near = voronoi(members, ids[i : i + block], pivots, turn)
+            part, near = voronoi(members, ids[i : i + block], pivots, turn, shingle, percent)
             dealt = part if dealt is None else dealt.unionByName(part)
             found.append(near)
             used.append(part)
@@ -332,7 +332,7 @@ def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int
         turn += 1
         stuck = cut(large.join(after, large["region"] == after["parent"]).where((F.col("after") > growth * F.col("members")) | F.lit(turn == rounds)).select("region", "members", "outside"), "stuck")
         used.append(stuck)
-        found.append(cut(solve(tiles(members.join(stuck.select("region"), "region", "left_semi"), stuck, capacity // 2)), "links"))
+        found.append(cut(solve(tiles(members.join(stuck.select("region"), "region", "left_semi"), stuck, capacity // 2), shingle=shingle, percent=percent), "links"))
         members = dealt.join(stuck.select(F.col("region").alias("parent")), "parent", "left_anti").drop("parent")
     edges = found[0]
     for e in found[1:]:
@@ -343,7 +343,7 @@ def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int
     return edges
 
 
-def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **how) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Null and empty texts have no shingles and are linked with nothing: their
@@ -351,18 +351,18 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     rows are in one component; doc_id is taken as the key of a text.  Other
     columns are ignored.
     """
-    info, sketch = survey(docs)
+    info, sketch = survey(docs, shingle)
     classes = cut(info.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    of_rep = components(links(docs, classes, sketch, **how))
+    of_rep = components(links(docs, classes, sketch, shingle=shingle, percent=percent, **how))
     named = classes.join(of_rep, classes["rep"] == of_rep["id"], "left").select("fp", "n", F.coalesce("component", "rep").alias("_component"))
     return info.join(named, ["fp", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id")
     )
 
 
-def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, **how) -> DataFrame:
     """The rows of docs with the smallest id of their component (and those without an id), with all their columns."""
-    gone = near_duplicates(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, shingle, percent, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
