@@ -388,7 +388,7 @@ def decode(coded: DataFrame, model: Model) -> DataFrame:
 
 
 def encode_and_check(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip: whether decoding gives the text back."""
+    """doc_id, ids, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip: whether decoding gives the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -397,17 +397,19 @@ def encode_and_check(docs: DataFrame, model: Model) -> DataFrame:
         for part in flushes(rows, BATCH_BYTES):
             texts = [t.decode() for _, t in part]
             ids = codec.encode(texts)
+            offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([d for d, _ in part], kind),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))),
                     pa.array([len(i) for i in ids], pa.int64()),
                     pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
                     pa.array([codec.decode(i) == t for i, t in zip(ids, texts, strict=True)], pa.bool_()),
                 ],
-                ["doc_id", "n_tokens", "ids_sha256", "round_trip"],
+                ["doc_id", "ids", "n_tokens", "ids_sha256", "round_trip"],
             )
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, ids_sha256 string, round_trip boolean")

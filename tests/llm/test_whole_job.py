@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 import brute
+import numpy as np
 import pytest
 
-from linkstone.llm import jaccard_join
+from linkstone.llm import common, jaccard_join, queries, sentencepiece_codec
 
 
 def near(rows, n, percent):
@@ -46,3 +48,11 @@ def test_stage_of_near_duplicates(spark, sf):
     want = {d for d, (_, c) in near(rows, 5, 80).items() if c == d}
     left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
     assert {r.doc_id for r in left.collect()} == want and 2 not in want and want < {d for d, (_, c) in near(rows, 4, 85).items() if c == d}
+
+
+def test_sentencepiece_query_returns_ids(spark, sf):
+    model = sentencepiece_codec.read_model(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    docs = common.load(spark, sf, "documents")
+    got = {r.doc_id: r for r in queries.op10_sentencepiece(spark, sf).collect()}
+    assert {d: r.ids for d, r in got.items()} == {r.doc_id: r.ids for r in sentencepiece_codec.encode(docs, model).collect()}
+    assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() and r.round_trip for r in got.values())
