@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the smallest doc_id stays (operator 5)."""
-    return exact_dedup.drop_exact_copies(docs)
+    """Of equal texts, the smallest doc_id stays, once (operator 5)."""
+    return exact_dedup.keep_one_copy(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def normalised(text: Column) -> Column:
     """Null counts as empty; each run of ASCII white space becomes one space."""
@@ -50,6 +52,24 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.join(kept, same, "left_semi")
 
 
+def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """Like drop_exact_copies, but of rows with equal ids, or of rows without one, one stays as well: the least by all its contents.
+
+    Such rows are rare: only they are combined with all their columns, the others take the way of drop_exact_copies.
+    """
+    kept = exact_groups(docs, id_col, text_col, salts).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).agg(F.count(F.lit(1)).alias("_kept_rows"))
+    kept = cut(kept, "kept")
+    same = lambda k: docs[id_col].eqNullSafe(k["_kept_id"]) & (F.sha2(normalised(docs[text_col]), 256) == k["_kept_text"])
+    once, ties = kept.where("_kept_rows = 1"), kept.where("_kept_rows > 1")
+    single = docs.join(once, same(once), "left_semi")
+    if ties.isEmpty():
+        return single
+    row = F.struct(*(docs[c] for c in docs.columns))
+    tied = docs.join(ties, same(ties)).select("_kept_id", "_kept_text", row.alias("_row"))
+    least = tied.groupBy("_kept_id", "_kept_text").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return single.unionByName(least.select("_row.*"))
+
+
 ORACLE = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

@@ -56,3 +56,15 @@ def test_sentencepiece_query_returns_ids(spark, sf):
     got = {r.doc_id: r for r in queries.op10_sentencepiece(spark, sf).collect()}
     assert {d: r.ids for d, r in got.items()} == {r.doc_id: r.ids for r in sentencepiece_codec.encode(docs, model).collect()}
     assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() and r.round_trip for r in got.values())
+
+
+def test_exact_stage_keeps_one_of_repeated_rows(spark, sf):
+    import corpus_pipeline
+
+    rows = [(1, "a b", "en"), (1, "a b", "en"), (1, "a  b", "de"), (None, "x", None), (None, "x", None), (None, None, "en"), (4, "", "en"), (4, None, "de"), (5, "a b", "en"), (6, "c", "en"), (1, "d", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for df in (docs, docs.repartition(5), docs.orderBy("text")):
+        left = corpus_pipeline.exact_deduplication(spark, df, sf)
+        got = sorted(map(tuple, left.collect()), key=str)
+        assert left.columns == docs.columns and got == sorted([(1, "a  b", "de"), (None, "x", None), (4, None, "de"), (6, "c", "en"), (1, "d", "en")], key=str)
+    assert corpus_pipeline.exact_deduplication(spark, docs.limit(0), sf).count() == 0
