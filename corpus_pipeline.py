@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from linkstone.llm import decontamination, exact_dedup, jaccard_join, quality, sentencepiece_codec
 from linkstone.llm.common import load
@@ -34,8 +33,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
-    """doc_id, ids, n_tokens of every document that is left (operator 10)."""
-    return sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(model)).withColumn("n_tokens", F.size("ids").cast("long"))
+    """doc_id, ids, n_tokens of every document that is left, and whether decoding gives its text back (operator 10)."""
+    return sentencepiece_codec.encode_and_check(docs, sentencepiece_codec.read_model(model)).select("doc_id", "ids", "n_tokens", "round_trip")
 
 
 STAGES = [

@@ -68,3 +68,12 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark, sf):
         got = sorted(map(tuple, left.collect()), key=str)
         assert left.columns == docs.columns and got == sorted([(1, "a  b", "de"), (None, "x", None), (4, None, "de"), (6, "c", "en"), (1, "d", "en")], key=str)
     assert corpus_pipeline.exact_deduplication(spark, docs.limit(0), sf).count() == 0
+
+
+def test_encoding_stage_decodes(spark, sf):
+    import corpus_pipeline
+
+    texts = [(1, "plain words, naïve Ünï 日本語 🎉"), (2, None), (3, ""), (4, " two  spaces "), (5, "a▁b")]
+    got = {r.doc_id: r for r in corpus_pipeline.encoding(spark, spark.createDataFrame(texts, "doc_id long, text string"), sf).collect()}
+    # the library's own mark of a space can't be told from a space
+    assert [got[d].round_trip for d, _ in texts] == [True, True, True, True, False] and all(len(r.ids) == r.n_tokens for r in got.values())
