@@ -1,14 +1,14 @@
 """Shared helpers: tables in the shared folder, and vectorised word hashing over byte buffers.
 
 Word hashing works on a whole block of texts at once: the texts are joined into
-one byte buffer, word borders come from a 256-entry byte class, and a word's
-64-bit hash is read off prefix sums of a polynomial in the bytes.  Windows of n
-words are hashed the same way over the word hashes.  No Python object is made
-per word.
+one byte buffer, word borders come from a 256-entry byte class, and all words
+are hashed eight bytes at a step.  Windows of n words are put together from the
+word hashes by doubling.  No Python object is made per word.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +42,36 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+#: Keys that are joined by broadcast: so many can each have more than this fraction of all rows.
+HEAVY = 10_000
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+    """Left join of rows with a table that is unique by keys and says in `count` how many rows have a key.
+
+    Fewer than HEAVY keys can hold over 1 / HEAVY of the rows each.  These are
+    broadcast, and their rows are spread evenly instead of going to their key's
+    task.  The table is read three times, so it should be one that cut() wrote.
+    total: the sum of its counts, if it is known.
+    """
+    if total is None:
+        total = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    values = [c for c in table.columns if c not in keys]
+    heavy = F.col(count) > F.lit(total / HEAVY)
+    hot = table.where(heavy).select(*keys, F.struct(*values).alias("_hot"))
+    cold = table.where(~heavy).select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(rows.columns[0]), F.lit(4096)).cast("int") + 1).otherwise(0)
+    both = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
+    found = both.select(*rows.columns, F.coalesce("_hot", "_cold").alias("_found"))
+    return found.select(*rows.columns, *[F.col("_found")[v].alias(v) for v in values])
+
+
+def arrow_type(df: DataFrame, column: str):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -64,27 +94,44 @@ ALNUM = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    up, down = _powers.get(int(base), (None, None))
-    if up is None or len(up) < n:
-        size = max(n, BLOCK_BYTES + 4096)
-        inverse = pow(int(base), -1, 1 << 64)
-        up, down = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, b, np.uint64)))) for b in (base, np.uint64(inverse)))
-        _powers[int(base)] = up, down
-    return up, down
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_SEED = np.array([0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Longer words are hashed by BLAKE2.
+_SHORT = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    """A one-to-one scramble of 64-bit numbers."""
+    out = h >> np.uint64(33)
+    out ^= h
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        out *= np.uint64(factor)
+        out ^= out >> np.uint64(33)
+    return out
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of stretches of data (which has 8 more bytes at its end).
+
+    Eight bytes at a time go through a scramble that isn't linear; stretches over
+    64 bytes take BLAKE2.  Words of up to 8 bytes and equal length never collide.
+    The lanes start from the bytes themselves, so a collision in one says
+    nothing about the other.
+    """
+    size, odd = end - start, _ODD[lane]
+    chunk = np.ndarray(max(len(data) - 7, 0), "<u8", np.ascontiguousarray(data), strides=(1,))
+    h = mix((chunk[start] & _HEAD[np.minimum(size, 8)]) * odd + _SEED[lane] * (size.astype(np.uint64) + np.uint64(1)))
+    longer = np.flatnonzero((size > 8) & (size <= _SHORT))
+    for k in range(8, _SHORT, 8):
+        longer = longer[size[longer] > k]
+        if not len(longer):
+            break
+        h[longer] = mix((h[longer] ^ (chunk[start[longer] + k] & _HEAD[np.minimum(size[longer] - k, 8)])) * odd + np.uint64(k))
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest()
+        h[i] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return h
 
 
 @dataclass
@@ -99,7 +146,7 @@ class Words:
 
     def windows(self, n: int, lane: int = 0) -> np.ndarray:
         """Hash of the n words from each position on; the caller keeps to the positions inside one text."""
-        return window_hashes(self.hash, n, lane)
+        return window_hashes(word_hashes(self.data, self.start, self.end, lane) if lane else self.hash, n, lane)
 
     def text_of(self, words: np.ndarray) -> bytes:
         raw = self.data.tobytes()
@@ -110,27 +157,30 @@ class Words:
 
 
 def window_hashes(h: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
+    """Hashes of all runs of n of the hashes h, put together from runs of 1, 2, 4, ... by a scramble at each step."""
     if len(h) < n:
         return np.empty(0, np.uint64)
-    if lane:
-        h = mix(h + np.uint64(0x632BE59BD9B4E019 * lane & (1 << 64) - 1))
-    up, down = _power(_STEP, len(h) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])))
-    return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
+    join = lambda a, b: mix(a * _ODD[lane] + b)
+    level, size, out, length = h, 1, None, 0
+    while True:
+        if n & size:
+            out = level if out is None else join(out[: len(out) - size], level[length : length + len(out) - size])
+            length += size
+        if length == n:
+            return out if n > 1 else mix(out)
+        level = join(level[:-size], level[size:])
+        size *= 2
 
 
 def hash_words(texts: list[bytes], word: np.ndarray, lower: bool) -> Words:
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    data = np.frombuffer(b" ".join(texts) + b" " * 9, np.uint8)
     if lower:
         data = LOWER[data]
     inside = word[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
     start, end = edge[::2], edge[1::2]
-    up, down = _power(_BASE, len(data) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     borders = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    return Words(data, start, end, h, np.searchsorted(start, borders))
+    return Words(data, start, end, word_hashes(data, start, end), np.searchsorted(start, borders))
 
 
 def blocks(texts: list, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
@@ -157,17 +207,21 @@ FLUSH_BYTES = 8 << 20
 
 
 def compressed(docs: DataFrame) -> DataFrame:
-    """doc_id, z: the texts compressed with zstandard, for when whole texts must move."""
+    """The columns of docs before the last one, text, and z: the texts compressed with zstandard, for when whole texts must move."""
     import pyarrow as pa
 
+    *names, text = docs.columns
+    schema = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
+
     def run(batches):
         import zstandard as zs
 
         pack = zs.ZstdCompressor(level=3).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in as_bytes(b.column(1))], pa.binary())], ["doc_id", "z"])
+            z = pa.array([pack(t) for t in as_bytes(b.column(len(names)))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), z], [*names, "z"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, z binary")
+    return docs.mapInArrow(run, f"{schema}, z binary")
 
 
 def total_bytes(docs: DataFrame) -> int:

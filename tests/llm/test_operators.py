@@ -153,7 +153,7 @@ def test_jaccard_join(edge, empty, docs):
     assert kept.columns == edge.columns and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id IN (2, 3, 12)").count() == 3
 
 
-@pytest.mark.parametrize("how", [{"capacity": 20, "pivots": 4}, {"capacity": 8, "pivots": 3, "growth": 2.0}, {"capacity": 10, "pivots": 5, "growth": 50.0, "rounds": 2}])
+@pytest.mark.parametrize("how", [{"capacity": 20, "pivots": 4}, {"capacity": 8, "pivots": 3, "growth": 2.0}, {"capacity": 10, "pivots": 5, "growth": 50.0}])
 def test_regions_split_exactly(spark, how):
     rng, rows = random.Random(3), []
     for _ in range(3):

@@ -5,7 +5,7 @@ import brute
 import numpy as np
 import pytest
 
-from linkstone.llm import common, jaccard_join, queries, sentencepiece_codec
+from linkstone.llm import common, jaccard_join, queries, sentencepiece_codec, substring_dedup
 
 
 def near(rows, n, percent):
@@ -33,7 +33,7 @@ def families(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("how", [{}, {"capacity": 20, "pivots": 4}, {"capacity": 10, "pivots": 5, "growth": 50.0, "rounds": 2}])
+@pytest.mark.parametrize("how", [{}, {"capacity": 20, "pivots": 4}, {"capacity": 10, "pivots": 5, "growth": 50.0}])
 def test_jaccard_join_at_other_lines(spark, how):
     rows = families(4)
     got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, percent=80, **how).collect()
@@ -77,3 +77,74 @@ def test_encoding_stage_decodes(spark, sf):
     got = {r.doc_id: r for r in corpus_pipeline.encoding(spark, spark.createDataFrame(texts, "doc_id long, text string"), sf).collect()}
     # the library's own mark of a space can't be told from a space
     assert [got[d].round_trip for d, _ in texts] == [True, True, True, True, False] and all(len(r.ids) == r.n_tokens for r in got.values())
+
+
+def thue_morse():
+    """Two different words that polynomial hashes modulo a power of two can't tell apart."""
+    word, swap = "a", str.maketrans("ab", "ba")
+    while len(word) < 1024:
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    one, other = thue_morse()
+    base = " ".join(f"x{i}" for i in range(49))
+    rows = [(1, f"{base} {one}"), (2, f"{base} {other}"), (3, f"{one} p q r"), (4, f"{other} p q r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(df).collect()}
+    assert got == brute.substring_dedup(rows) and not got[2][1]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == brute.near_duplicates(rows)
+
+
+def test_hash_lanes():
+    rng = random.Random(8)
+    words = sorted({bytes(rng.choice(b"abcd") for _ in range(rng.choice([1, 3, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(3000)})
+    w = common.hash_words([b" ".join(words)], common.NOT_SPACE, False)
+    lanes = [common.word_hashes(w.data, w.start, w.end, k) for k in (0, 1)]
+    assert all(len(set(x.tolist())) == len(words) for x in lanes) and not set(lanes[0].tolist()) & set(lanes[1].tolist())
+    for n in (1, 2, 3, 4, 5, 7, 10, 25, 50):
+        h = w.windows(n, 1)
+        assert len(h) == len(words) - n + 1 == len(set(h.tolist())) and h[5] == common.window_hashes(lanes[1][5 : 5 + n], n, 1)[0]
+
+
+def test_repeated_and_textual_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [("b", passage), ("a", "start " + passage), ("c", passage + " tail"), ("b", "other " + passage), ("b", None), (None, passage), ("b", passage), ("b", "x y")]
+    got = sorted(tuple(r)[:3] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id string, text string")).where("doc_id IS NOT NULL").collect())
+    assert got == [("a", 81, 0), ("b", 0, 0), ("b", 2, 0), ("b", 80, 80), ("b", 80, 80), ("b", 81, 80), ("c", 81, 80)]
+    rows = [(5, passage), (5, "q " * 60), (7, "q " * 55 + passage), (7, "other words"), (5, "q " * 60)]
+    got = sorted(tuple(r)[:3] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert got == [(5, 60, 0), (5, 60, 0), (5, 80, 0), (7, 2, 0), (7, 135, 135)]
+    rows = [("b", "a b c d e"), ("a", "a  b c d E"), ("b", "x y z"), ("c", "x Y z"), (None, "x y z"), ("d", None)]
+    got = sorted(map(tuple, jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()), key=str)
+    assert got == [("a", 2, "a"), ("b", 1, "b"), ("b", 2, "a"), ("c", 1, "b"), ("d", 0, "d"), (None, 1, None)]
+
+
+def test_regions_carry_the_links():
+    """Every link of one large group is found by regions, not by comparing all members."""
+    rng, texts = random.Random(6), []
+    for _ in range(30):
+        seed = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        for _ in range(8):
+            t = list(seed)
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(80)] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(t).encode())
+    sets = jaccard_join.sets_of(texts)
+    label = list(range(len(texts)))
+    for i, j in jaccard_join.forest(sets, jaccard_join.Exact(texts, 4, 85)):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    assert {d: (len(sets[d]), x) for d, x in enumerate(label)} == brute.near_duplicates([(d, t.decode()) for d, t in enumerate(texts)])
+
+
+def test_hot_keys_and_shingles_take_the_other_way(spark, monkeypatch):
+    rows = [(d, "same text of the third of all rows") for d in range(40)] + families(9)[:60]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = brute.near_duplicates(rows)
+    for heavy, hot in ((1, 0), (3, 2)):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
