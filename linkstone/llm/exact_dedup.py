@@ -9,7 +9,8 @@
 
 The full normalised text is part of the key in every stage: equal digests alone
 never make two texts equal.  The winners then go back to the rows by digest,
-second digest and length, without the text.
+second digest and length, without the text; winners of groups with over 1 / 10,000
+of all rows are broadcast (there can't be 10,000 of them), so no group gathers.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_heavy
 
 
 def normalised(text: Column) -> Column:
@@ -40,8 +41,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = ["text_sha256", "_second", "_bytes", "_norm"]
     local = keyed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     salted = local.groupBy(*key, "_salt").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    winners = salted.groupBy(*key).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).drop("_norm")
-    joined = keyed.drop("_norm").join(winners, ["text_sha256", "_second", "_bytes"])
+    winners = cut(salted.groupBy(*key).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).drop("_norm"), "winners")
+    joined = join_heavy(keyed.drop("_norm"), winners, ["text_sha256", "_second", "_bytes"], "group_size")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
