@@ -8,6 +8,7 @@ word hashes by doubling.  No Python object is made per word.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -23,16 +24,39 @@ from linkstone.sources.scratch import shared_dir
 BLOCK_BYTES = 1 << 20
 
 
+_tables: list[DataFrame] = []
+
+
 def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: a short lineage that outlives executors."""
+    """Write df as a table in the shared folder and read it back: a short lineage that outlives executors.
+
+    Tables that drop() or drop_since() don't remove go when the program ends.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/linkstone/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._shared_path = path
+    if not _tables:
+        atexit.register(drop_since, 0)
+    _tables.append(back)
     return back
 
 
+def tables() -> int:
+    """Number of tables made so far, for drop_since()."""
+    return len(_tables)
+
+
+def drop_since(mark: int) -> None:
+    """Remove the tables made after tables() returned mark: when what was built from them is written."""
+    for table in _tables[mark:]:
+        try:
+            drop(table)
+        except Exception:  # noqa: BLE001  at the end of the program the session may be gone
+            return
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table made by cut() that nothing reads any more."""
     path = getattr(df, "_shared_path", None)
@@ -40,6 +64,7 @@ def drop(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        df._shared_path = None
 
 
 #: Keys that are joined by broadcast: so many can each have more than this fraction of all rows.
@@ -66,6 +91,28 @@ def join_heavy(rows: DataFrame, table: DataFrame, keys: list[str], count: str, t
     return found.select(*rows.columns, *[F.col("_found")[v].alias(v) for v in values])
 
 
+def add_in_tree(pieces: DataFrame, kind: str, fan: int = 256) -> dict[int, np.ndarray]:
+    """chunk -> sum of the arrays of a chunk. pieces (part int, chunk int, value binary): zstandard-packed arrays of a type, one of each chunk a partition.
+
+    At most `fan` of them meet in a task, whatever the number of partitions.
+    """
+    import zstandard as zs
+
+    def add(pdf):
+        unpack = zs.ZstdDecompressor().decompress
+        total = 0
+        for v in pdf["value"]:
+            total = total + np.frombuffer(unpack(v), kind)
+        return pdf.head(1).assign(value=zs.ZstdCompressor(level=3).compress(total.tobytes()))[["part", "chunk", "value"]]
+
+    left = pieces.agg(F.coalesce(F.max("part"), F.lit(-1)).alias("n")).first()["n"] + 1
+    while left > 0:
+        left = -(-left // fan)
+        pieces = pieces.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("chunk", "part").applyInPandas(add, "part int, chunk int, value binary")
+        left = 0 if left == 1 else left
+    return {r["chunk"]: np.frombuffer(zs.ZstdDecompressor().decompress(bytes(r["value"])), kind) for r in pieces.collect()}
+
+
 def arrow_type(df: DataFrame, column: str):
     from pyspark.sql.pandas.types import to_arrow_type
 

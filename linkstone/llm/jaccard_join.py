@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, arrow_type, as_bytes, blocks, compressed, cut, drop, flushes, hash_words, join_heavy, mix, runs, total_bytes, window_hashes, word_hashes
+from .common import LOWER, NOT_SPACE, add_in_tree, arrow_type, as_bytes, blocks, compressed, cut, drop, flushes, hash_words, join_heavy, mix, runs, total_bytes, window_hashes, word_hashes
 from .substring_dedup import group_of, pack5, unpack5
 
 SHINGLE, PERCENT = 4, 85
@@ -123,25 +123,9 @@ def survey(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, np.ndarr
 
     both = cut(_keyed(docs).mapInArrow(run, f"doc_id {name}, tk long, n long, fp long, tw long, part int, chunk int, counts binary"), "survey")
 
-    def add(pdf):
-        import zstandard as zs
-
-        unpack, total = zs.ZstdDecompressor().decompress, np.zeros(SKETCH // CHUNKS, np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(unpack(c), np.int64)
-        return pdf.head(1).assign(counts=zs.ZstdCompressor(level=3).compress(total.tobytes()))[["part", "chunk", "counts"]]
-
-    pieces = both.where("chunk IS NOT NULL").select("part", "chunk", "counts")
-    left = pieces.agg(F.coalesce(F.max("part"), F.lit(-1)).alias("n")).first()["n"] + 1
-    while left > 0:
-        pieces = pieces.withColumn("part", F.floor(F.col("part") / 256).cast("int")).groupBy("chunk", "part").applyInPandas(add, "part int, chunk int, counts binary")
-        left = 0 if left <= 256 else -(-left // 256)
-    import zstandard as zs
-
     sketch, size = np.zeros(SKETCH, np.int32), SKETCH // CHUNKS
-    for r in pieces.collect():
-        total = np.frombuffer(zs.ZstdDecompressor().decompress(bytes(r["counts"])), np.int64)
-        sketch[r["chunk"] * size : (r["chunk"] + 1) * size] = np.minimum(total, np.iinfo(np.int32).max)
+    for chunk, total in add_in_tree(both.where("chunk IS NOT NULL").select("part", "chunk", F.col("counts").alias("value")), "<i8").items():
+        sketch[chunk * size : (chunk + 1) * size] = np.minimum(total, np.iinfo(np.int32).max)
     return both.where("chunk IS NULL").select("doc_id", "tk", "n", "fp", "tw"), sketch
 
 

@@ -13,11 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NOT_SPACE, as_bytes, blocks, byte_class, cut, drop, hash_words, held_out, window_hashes
+from .common import NOT_SPACE, add_in_tree, as_bytes, blocks, byte_class, cut, drop, hash_words, held_out, window_hashes
 
 STATISTICS = [
     "log_bytes", "log_words", "word_bytes", "upper", "lower", "digit", "mark", "foreign", "lines", "distinct_words", "commonest_word",
@@ -92,16 +94,19 @@ class Model:
         return np.interp(self.raw(x), self.edges, self.values)
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
+def with_statistics(docs: DataFrame, kept: list[str], name: str = "x") -> DataFrame:
+    """The columns `kept` of docs, and behind them the statistics of its texts as column `name`."""
+    rows = docs.select(*kept, *(["text"] if "text" not in kept else []))
+    at = rows.columns.index("text")
+
     def run(batches):
         for b in batches:
-            x = statistics(as_bytes(b.column(1))).astype(np.float32)
+            x = statistics(as_bytes(b.column(at))).astype(np.float32)
             flat = pa.array(x.ravel(), pa.float32())
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, flat)], [*kept, name])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<float>")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(kept)], T.StructField(name, T.ArrayType(T.FloatType()))]))
 
 
 def pool_adjacent(n: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -133,20 +138,21 @@ def fit(table: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, widt
     chunk = 32
 
     def sums(frames):
+        import zstandard as zs
+        from pyspark import TaskContext
+
         total = np.zeros((width + 1, width + 2))
         for pdf in frames:
             z = model.features(_matrix(pdf["x"]))
             total += z.T @ np.column_stack([z, pdf["y"].to_numpy()])
-        import pandas as pd
-
-        yield pd.DataFrame({"at": range(0, width + 1, chunk), "part": [total[i : i + chunk].tobytes() for i in range(0, width + 1, chunk)]})
-
-    def add(pdf):
-        part = sum(np.frombuffer(p) for p in pdf["part"])
-        return pdf.head(1).assign(part=part.tobytes())
-
-    parts = rows.mapInPandas(sums, "at int, part binary").groupBy("at").applyInPandas(add, "at int, part binary").collect()
-    total = np.concatenate([np.frombuffer(bytes(r["part"])).reshape(-1, width + 2) for r in sorted(parts, key=lambda r: r["at"])])
+        pack = zs.ZstdCompressor(level=1).compress
+        first = range(0, width + 1, chunk)
+        yield pd.DataFrame({"part": TaskContext.get().partitionId(), "chunk": first, "value": [pack(total[i : i + chunk].tobytes()) for i in first]})
+
+    parts = cut(rows.mapInPandas(sums, "part int, chunk int, value binary"), "sums")
+    added = add_in_tree(parts, "<f8")
+    drop(parts)
+    total = np.concatenate([added[i].reshape(-1, width + 2) for i in sorted(added)])
     n = total[0, 0]
     model.ridge = np.linalg.solve(total[:, :-1] + penalty * n * np.diag(np.r_[0, np.full(width, 1 / width)]) + 1e-9 * np.eye(width + 1), total[:, -1])
 
@@ -175,7 +181,7 @@ def score(table: DataFrame, model: Model | None) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; null and empty texts have the statistics of an empty text."""
-    table = cut(with_statistics(docs), "statistics")
+    table = cut(with_statistics(docs, ["doc_id"]), "statistics")
     return score(table, fit(table, labels)).select(
         "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
@@ -184,16 +190,21 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score threshold or more, with all their columns; all rows if nothing could be learnt.
 
-    No row moves between partitions.
+    One scan writes the rows beside their statistics; no row moves between
+    partitions.  Null and empty texts have the statistics of an empty text;
+    repeated rows share their fate.
     """
-    table = cut(with_statistics(docs), "statistics")
-    model = fit(table, labels)
-    drop(table)
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for b in batches:
-            keep = model.score(statistics(as_bytes(b.column(at)))) >= threshold if model else np.ones(b.num_rows, bool)
-            yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    name = "_statistics"
+    while name in docs.columns:
+        name += "_"
+    wide = cut(with_statistics(docs, docs.columns, name), "statistics")
+    model = fit(wide.select("doc_id", F.col(name).alias("x")), labels)
+    good = F.lit(True)
+    if model:
+
+        @F.pandas_udf("boolean")
+        def good_enough(x: pd.Series) -> pd.Series:
+            return pd.Series(model.score(_matrix(x)) >= threshold)
+
+        good = good_enough(name)
+    return wide.where(good).select(*docs.columns)

@@ -148,3 +148,42 @@ def test_hot_keys_and_shingles_take_the_other_way(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "HOT", hot)
         got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_long_units_and_long_texts(monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+    codec, library = sentencepiece_codec.Codec(sentencepiece_codec.read_model(path)), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(4)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150_000))
+    texts = [letters, "a" * 70_000, "日本語🎉" * 3000, "x\0y" * 200, " " * 500, "one " + letters[:1000] + "  two\n" + letters[:1000], "", "\n\n", "déjà vu " * 300]
+    want = [library.encode(t) for t in texts]
+    assert [i.tolist() for i in codec.encode(texts)] == want and [codec.decode(i) for i in codec.encode(texts)] == texts
+    monkeypatch.setattr(sentencepiece_codec, "PART", 300)  # every longer text goes part by part
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 50)
+    monkeypatch.setattr(sentencepiece_codec, "SLICE", 100)
+    assert [i.tolist() for i in codec.encode(texts + texts)] == want + want
+
+
+def test_suffix_array():
+    model = sentencepiece_codec.read_model(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    codec, rng = sentencepiece_codec.Codec(model), random.Random(7)
+    text = "".join(rng.choice("abab▁ theing") for _ in range(3000))
+    codes = codec.code_of[[ord(c) for c in text]]
+    order, _ = codec.suffixes(codes.astype(np.uint64), 4, 16)
+    code = {c: int(codec.code_of[ord(c)]) for c in set(text)}
+    suffix = [[code[c] for c in text[i : i + codec.longest]] for i in order]
+    assert suffix == sorted(suffix)
+    start, end, piece = codec.edges(codes)
+    usable = {model.pieces[i]: i for i in codec.usable.tolist()}
+    want = {(i, i + k, usable[text[i : i + k]]) for i in range(len(text)) for k in range(1, codec.longest + 1) if i + k <= len(text) and text[i : i + k] in usable}
+    assert set(zip(start.tolist(), end.tolist(), piece.tolist())) == want and len(start) == len(want)
+
+
+def test_unigram_long_unit_relaxes_alike():
+    pieces, kinds = ["<unk>", "▁", "a", "b", "ab", "▁ab", "ba", "bab"], np.array([2, 1, 1, 1, 1, 1, 1, 1])
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Model(pieces, np.array([0, -3.1, -3.2, -3.3, -4.1, -9.5, -2.5, -4.4]), kinds, False, True))
+    rng = random.Random(2)
+    for _ in range(30):
+        unit = "".join(rng.choice("abbc") for _ in range(rng.randrange(1, 120)))
+        assert codec.encode_long(unit, stretch=7) == codec.encode_units([unit])[0]
