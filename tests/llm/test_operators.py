@@ -195,26 +195,45 @@ def test_url_filter(spark):
 
 
 def test_url_models_are_distributions(spark):
-    rows = [(True, "abc", 5), (True, "abd", 2), (True, "xbc", 1), (False, "abc", 1), (False, "zzz", 3)]
-    ratios = {r.t: r.ratio for r in url_filter.log_ratios(spark.createDataFrame(rows, "accepted boolean, t string, n long")).collect()}
-    assert len(ratios) == url_filter.V**3 and ratios["abd"] > 0 > ratios["zzz"]
-
-    def p(accepted, text):
-        value = 1 / url_filter.V
-        for k in (1, 2, 3):
+    urls = [("accepted", "abcab", 5), ("accepted", "abd", 2), ("accepted", "xbc9", 1), ("rejected", "abc", 1), ("rejected", "zzz/z\u00e9", 3)]
+    pad = lambda t: url_filter.BEGIN * (url_filter.ORDER - 1) + t + url_filter.END
+    cuts = lambda t: [pad(t)[i : i + url_filter.ORDER] for i in range(len(t) + 1)]
+    n = {side: {} for side in ("accepted", "rejected")}
+    for side, t, times in urls:
+        for g in cuts(t):
+            n[side][g] = n[side].get(g, 0) + times
+    every = set().union(*n.values()) | set(cuts("abq")) | {"abcab"[:4] + c for c in "abcdxz9"}
+    counts = spark.createDataFrame([(t, n["accepted"].get(t, 0), n["rejected"].get(t, 0)) for t in every], "t string, accepted long, rejected long")
+    ratios = {r.t: r.ratio for r in url_filter.log_ratios(counts).collect()}
+
+    def p(side, t):
+        value = url_filter.UNSEEN
+        for k in range(1, url_filter.ORDER + 1):
             grams = {}
-            for side, t, n in rows:
-                if side == accepted:
-                    grams[t[3 - k :]] = grams.get(t[3 - k :], 0) + n
-            own, context = text[3 - k :], text[3 - k : 2]
-            around = [n for g, n in grams.items() if g[:-1] == context]
+            for g, times in n[side].items():
+                grams[g[-k:]] = grams.get(g[-k:], 0) + times
+            around = [times for g, times in grams.items() if g[:-1] == t[-k:-1]]
             if around:
-                value = (grams.get(own, 0) + len(around) * value) / (sum(around) + len(around))
+                value = (grams.get(t[-k:], 0) + len(around) * value) / (sum(around) + len(around))
         return value
 
-    assert abs(sum(p(True, "ab" + c) for c in url_filter.ALPHABET) - 1) < 1e-9
-    for t in ("abc", "abd", "zzz", "xbc", "qbc", "qqq", "abz", "zzc"):
-        assert abs(ratios[t] - np.log(p(True, t) / p(False, t))) < 1e-9
+    assert set(ratios) == every and all(abs(ratios[t] - np.log(p("accepted", t) / p("rejected", t))) < 1e-9 for t in every)
+    assert ratios["\x02\x02\x02ab"] > 0 > ratios["\x02\x02zzz"]
+
+
+def test_url_filter_edges(spark):
+    from pyspark.sql import functions as F
+
+    long = "http://a.org/fr/" + "x" * 200_000
+    urls = [(1, long), (2, "http://b.net/" + "y" * 1000), (3, "HTTP://C.io/" + "x" * 500), (3, "HTTP://C.io/" + "x" * 500), (None, None), (4, "http://d.io/yyyyyy\u65e5")]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    for name in ("host", "path", "rule", "t", "k", "ratio", "_row", "_fixed", "_after", "score"):
+        df = df.withColumn(name, F.lit(f"clash {name}"))
+    rows = url_filter.url_verdicts(df).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == 6 and got[3].score > 0 > got[4].score and got[4].verdict == "block" and got[None].host == "" and len(got[1].path) == 200_004
+    one_side = {r.page_id: r for r in url_filter.url_verdicts(df.where("page_id <> 2")).collect()}
+    assert {r.score for r in one_side.values()} == {0.0} and one_side[4].verdict == "allow"
 
 
 PIECES = [b" ", b"a", b"b", b"c", b"ab", b"abc", b" ab", b"bca", b"bcab"]
