@@ -110,8 +110,8 @@ def _dictionary(samples: list[bytes], size: int, **how) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def fit_sample(texts: list[bytes], toxic: np.ndarray, share: float, seed: int = 0) -> Model | None:
-    """None if the sample lacks one of the classes."""
+def fit_sample(texts: list[bytes], toxic: np.ndarray, share: float, seed: int = 0, sample_windows: int = 40_000) -> Model | None:
+    """None if the sample lacks one of the classes. sample_windows: windows of ordinary texts, drawn at random, that its dictionary is trained on."""
     rng = np.random.default_rng(seed)
     if not toxic.any() or toxic.all():
         return None
@@ -121,7 +121,7 @@ def fit_sample(texts: list[bytes], toxic: np.ndarray, share: float, seed: int =
     bad = [texts[i] for i in np.flatnonzero(part & toxic)]
     good = [texts[i] for i in np.flatnonzero(part & ~toxic)]
     all_windows = [w for t in good for w in windows(t)]
-    picked = [all_windows[i] for i in rng.permutation(len(all_windows))[:40000]]
+    picked = [all_windows[i] for i in rng.permutation(len(all_windows))[:sample_windows]]
     stretches = marked_stretches(bad, good) or [w for t in bad for w in windows(t)]
     stretches = [stretches[i] for i in rng.permutation(len(stretches))]
     joined = [b" ".join(stretches[i : i + 8]) for i in range(0, len(stretches), 8)]
@@ -194,6 +194,13 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row.
+
+    Null and empty texts have one empty window.  Repeated rows get equal scores;
+    of labelled rows with one doc_id the least text is learnt from, and the
+    highest of their labels counts.  Texts of any length are read whole.  Other
+    columns of either table are ignored.
+    """
     return score(docs, fit(docs, labels)).select(
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
