@@ -355,7 +355,11 @@ def voronoi(members: DataFrame, sizes: DataFrame, pivots: int, turn: int, tile:
     again = some.sparkSession.read.schema(some.schema).parquet(some._shared_path)  # a table of its own, for the planner
     centres = again.join(chosen, ["region", "rep"]).withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
 
+    columns = {"region": "Int64", "rep": "int64", "n": "int64", "z": "object", "ball": "boolean", "pivot": "Int64", "parent": "int64"}
+
     def deal(key, left, right):
+        if not len(left):  # a tile without members
+            return pd.DataFrame(columns=list(columns)).astype(columns)
         right = right.sort_values("rep")
         texts, centre = _texts(left["z"]), _texts(right["z"])
         sets, names, exact = sets_of(texts, shingle), right["rep"].tolist(), Exact([*centre, *texts], shingle, percent)
@@ -363,7 +367,7 @@ def voronoi(members: DataFrame, sizes: DataFrame, pivots: int, turn: int, tile:
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
         distance = []
         for p in sets_of(centre, shingle):
-            inter = np.add.reduceat(np.isin(every, p), first)
+            inter = np.add.reduceat(np.isin(every, p).astype(np.int64), first)
             distance.append(1 - inter / (size + len(p) - inter))
         distance = np.column_stack(distance)
         out, region = [], np.array([key[0]], np.int64).view(np.uint64)
@@ -374,7 +378,8 @@ def voronoi(members: DataFrame, sizes: DataFrame, pivots: int, turn: int, tile:
         for k, own in enumerate(cells(distance, percent).T):
             out += [(label(k), reps[i], ns[i], blobs[i], bool(k < len(names) and balls[i, k]), None, key[0]) for i in np.flatnonzero(own).tolist()]
         out += [(None, reps[i], ns[i], None, None, names[k], key[0]) for i, k in np.argwhere(balls).tolist() if names[k] != reps[i]]
-        return pd.DataFrame(out, columns=["region", "rep", "n", "z", "ball", "pivot", "parent"]).astype({"region": "Int64", "pivot": "Int64", "ball": "boolean"})
+        # column by column: a frame of tuples would turn numbers beside nulls into floating point, and round them
+        return pd.DataFrame({name: pd.array([r[i] for r in out], dtype=kind) for i, (name, kind) in enumerate(columns.items())})
 
     dealt = cut(some.groupBy("region", "_tile").cogroup(centres.groupBy("region", "_tile")).applyInPandas(deal, _MEMBER + ", pivot long, parent long"), "regions")
     drop(some)
