@@ -91,7 +91,7 @@ def join_heavy(rows: DataFrame, table: DataFrame, keys: list[str], count: str, t
     return found.select(*rows.columns, *[F.col("_found")[v].alias(v) for v in values])
 
 
-def add_in_tree(pieces: DataFrame, kind: str, fan: int = 256) -> dict[int, np.ndarray]:
+def add_in_tree(pieces: DataFrame, kind: str, fan: int = 256, add_up=np.add) -> dict[int, np.ndarray]:
     """chunk -> sum of the arrays of a chunk. pieces (part int, chunk int, value binary): zstandard-packed arrays of a type, one of each chunk a partition.
 
     At most `fan` of them meet in a task, whatever the number of partitions.
@@ -100,9 +100,10 @@ def add_in_tree(pieces: DataFrame, kind: str, fan: int = 256) -> dict[int, np.nd
 
     def add(pdf):
         unpack = zs.ZstdDecompressor().decompress
-        total = 0
-        for v in pdf["value"]:
-            total = total + np.frombuffer(unpack(v), kind)
+        first, *others = (np.frombuffer(unpack(v), kind) for v in pdf["value"])
+        total = first.copy()
+        for v in others:
+            add_up(total, v, out=total)
         return pdf.head(1).assign(value=zs.ZstdCompressor(level=3).compress(total.tobytes()))[["part", "chunk", "value"]]
 
     left = pieces.agg(F.coalesce(F.max("part"), F.lit(-1)).alias("n")).first()["n"] + 1

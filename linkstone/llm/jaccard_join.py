@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, add_in_tree, arrow_type, as_bytes, blocks, compressed, cut, drop, flushes, hash_words, join_heavy, mix, runs, total_bytes, window_hashes, word_hashes
+from .common import LOWER, NOT_SPACE, add_in_tree, arrow_type, as_bytes, blocks, cut, drop, flushes, hash_words, join_heavy, mix, runs, total_bytes, window_hashes, word_hashes
 from .substring_dedup import group_of, pack5, unpack5
 
 SHINGLE, PERCENT = 4, 85
@@ -426,6 +426,50 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
+#: Bits of the filter through which texts pass that are wanted: its size is fixed, whatever the corpus.
+SLOTS = 1 << 25
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, tk, z: compressed texts of all rows whose (doc_id, tk) is in wanted, and of the few others that share a bit with one.
+
+    Each wanted key sets a bit; texts without one stay where they are.
+    """
+    slot = F.pmod(F.xxhash64("doc_id", "tk"), F.lit(SLOTS)).cast("int").alias("slot")
+    size = SLOTS // 8 // CHUNKS
+
+    def mark(batches):
+        import zstandard as zs
+        from pyspark import TaskContext
+
+        bits = np.zeros(SLOTS, bool)
+        for b in batches:
+            bits[b.column(0).to_numpy()] = True
+        if bits.any():
+            packed, pack = np.packbits(bits), zs.ZstdCompressor(level=1).compress
+            values = [pack(packed[i * size : (i + 1) * size].tobytes()) for i in range(CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array(values, pa.binary())], ["part", "chunk", "value"])
+
+    pieces = cut(wanted.select(slot).mapInArrow(mark, "part int, chunk int, value binary"), "bits")
+    bitmap = np.zeros(SLOTS // 8, np.uint8)
+    for chunk, value in add_in_tree(pieces, "u1", add_up=np.bitwise_or).items():
+        bitmap[chunk * size : (chunk + 1) * size] = value
+    drop(pieces)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def pick(batches):
+        import zstandard as zs
+
+        pack = zs.ZstdCompressor(level=3).compress
+        for b in batches:
+            at = b.column(2).to_numpy()
+            some = b.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([pack(t) for t in as_bytes(some.column(3))], pa.binary())], ["doc_id", "tk", "z"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _keyed(docs).select("doc_id", "tk", slot, "text").mapInArrow(pick, f"doc_id {kind}, tk long, z binary")
+
+
 def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int = 4096, weight: int = 4_000_000, pivots: int = 16, growth: float = 2.0, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): numbers of classes whose links connect the same components as all links do.
 
@@ -434,7 +478,7 @@ def links(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, capacity: int
     assigned = first_regions(docs, sketch, shingle, percent)
     wanted = assigned.join(classes, ["fp", "n"]).select("region", "rep", "n", "doc_id", "tk")
     wanted = cut(wanted, "wanted")
-    texts = compressed(_keyed(docs)).join(wanted.select("doc_id", "tk").distinct(), ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id", "tk"])
+    texts = texts_of(docs, wanted).dropDuplicates(["doc_id", "tk"])
     members = cut(wanted.join(texts, ["doc_id", "tk"]).select("region", "rep", "n", "z", F.lit(False).alias("ball")), "members")
     found, used, turn = [], [assigned, wanted, members], 0
     while True:
