@@ -52,7 +52,8 @@ def with_shared_idf(rows: DataFrame, idf: DataFrame, array: str, default: float)
 
 
 def production(rows: DataFrame, idf: DataFrame, default_idf: float = 12.0) -> DataFrame:
-    """The 16 features of profile P."""
+    """The 16 features of profile P. With an empty IDF table core_idf_sum is 0, else tokens that it lacks count default_idf."""
+    default_idf = 0.0 if idf.isEmpty() else default_idf
     a, b = (lambda n: F.col("a_" + n)), (lambda n: F.col("b_" + n))
     rows = with_shared_idf(rows.withColumn("_shared", F.array_intersect("a_core", "b_core")), idf, "_shared", default_idf)
     rows = rows.withColumn("name_ratio", S.indel_ratio("a_clean_name", "b_clean_name")).withColumn("name_partial_ratio", S.partial_ratio("a_clean_name", "b_clean_name"))

@@ -84,3 +84,15 @@ def test_models(spark):
     both = training.score(linear, training.score(boosted, rows.where("part = 'validation'"), "p1"), "p2").withColumn("prob", resolution.blend(F.col("p1"), F.col("p2")))
     assert evaluation.auc(both).first().auc_roc > 0.98 and training.importances(boosted, ["a", "b"])[0][0] == "a"
     assert {round(r.w, 6) for r in training.balanced_weights(rows).groupBy("label").agg(F.sum("weight").alias("w")).collect()} == {200.0}
+
+
+def test_idf_sum_of_an_empty_table_is_nothing(spark):
+    from linkstone.operators import features
+
+    names = [f"{side}_{c}" for side in "ab" for c in ("clean_name", "compressed", "clean_addr", "door", "pin", "phone")]
+    row = {"s1": "q", "target": "S2-t", **dict.fromkeys(names, "x")}
+    arrays = {f"{side}_{c}": ["x", "y"] for side in "ab" for c in ("core", "addr_keys")}
+    schema = "s1 string, target string, " + ", ".join(f"{n} string" for n in names) + ", " + ", ".join(f"{n} array<string>" for n in arrays)
+    pairs = spark.createDataFrame([(row | arrays)], schema)
+    value = lambda idf: features.production(pairs, spark.createDataFrame(idf, "token string, idf double")).first()["core_idf_sum"]
+    assert value([]) == 0.0 and value([("x", 2.5)]) == 14.5
