@@ -1,9 +1,13 @@
 """Candidate generation: postings by channel, probes, weights, and the best candidates of each query.
 
-A key's frequency is a partial aggregate joined back (not a window), so a hot key
-never gathers its rows in one task; only keys below a cap, or the first rows of
-a key, take part in the join.  First rows come from row_number with a limit,
-for which Spark keeps the best rows on the map side already.
+A key's frequency is a partial aggregate joined back (not a window).  That join
+does meet all postings of a hot key that keeps its first rows; adaptive execution
+splits such a partition.  Only keys below a cap, or the first rows of a key, are
+probed; first rows come from row_number with a limit, for which Spark keeps the
+best rows on the map side already.
+
+Probes meet postings by numbers, not ids, and the products move once, to their
+query: sums and the best candidates are made where they arrive.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from linkstone.functions import lexicons as X
 from linkstone.sources.scratch import cut
 
 SHARD = ["country", "source"]
-KEY = [*SHARD, "channel", "key"]
+KEY = ["key", "channel", *SHARD]  # the most selective first: sorts compare it first
 
 
 @dataclass(frozen=True)
@@ -83,7 +87,7 @@ def admitted(posts: DataFrame, profile: str = "P") -> DataFrame:
         return few
     # only keys beyond their cap are ranked, and each task keeps their first rows before the shuffle
     most = max(c.first or 0 for c in by_name.values())
-    ranked = live.where(F.col("df") > cap).withColumn("rank", F.expr("row_number() OVER (PARTITION BY country, source, channel, key ORDER BY seq, entity_id, pos)"))
+    ranked = live.where(F.col("df") > cap).withColumn("rank", F.expr("row_number() OVER (PARTITION BY key, channel, country, source ORDER BY seq, entity_id, pos)"))
     return few.unionByName(ranked.where(F.col("rank") <= most).where(F.col("rank") <= first))
 
 
@@ -120,28 +124,38 @@ def probes(queries: DataFrame, idf: DataFrame | None, profile: str = "P", defaul
     return k.withColumn("probe_no", F.col("pos"))
 
 
+def _numbered(queries: DataFrame, targets: DataFrame, reads: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides as tables with `no`: one number for each query id; for targets one that grows with (seq, entity_id), odd in S3."""
+    q = cut(queries.select("entity_id", *SHARD, "seq", *reads, F.monotonically_increasing_id().alias("no")), "queries")
+    ordered = cut(targets.select("entity_id", *SHARD, "seq", *reads), "targets").orderBy("seq", "entity_id")
+    place = F.monotonically_increasing_id() * 2 + (F.col("source") == "S3").cast("long")
+    return q.withColumn("no", F.expr("min(no) OVER (PARTITION BY entity_id)")), cut(ordered.withColumn("no", place), "numbered")
+
+
 def block(queries: DataFrame, targets: DataFrame, profile: str = "P", idf: DataFrame | None = None, top_k: int | None = None, only: str | None = None) -> DataFrame:
     """(s1, source, target, block_score, cand_pos): the best targets of each query, by score, then target order.
 
     only: candidates of this channel alone.  In profile L both sources share one list; cand_pos counts within it.
     """
-    posts = cut(postings(targets, profile), "postings")
-    live = admitted(posts, profile).withColumnRenamed("entity_id", "target").withColumnRenamed("seq", "target_seq").drop("pos")
+    q, t = _numbered(queries, targets, ["tokens", *(["addr_keys", "compressed", "door", "pin"] if profile != "L" else [])])
+    posts = cut(postings(t.withColumn("seq", F.col("no")), profile), "postings")
+    live = admitted(posts, profile).select(*KEY, "df", F.col("seq").alias("no"))
     if profile == "P" and idf is None:
-        idf = idf_production(posts, targets)
-    look = probes(queries.select("entity_id", *SHARD, "seq", "tokens", *(["addr_keys", "compressed", "door", "pin"] if profile != "L" else [])), idf, profile)
+        idf = idf_production(posts, t)
+    look = probes(q.withColumn("entity_id", F.col("no")).drop("no"), idf, profile)
     if only is not None:
         look, live = look.where(F.col("channel") == only), live.where(F.col("channel") == only)
     weight = F.col("weight")
     for c in CHANNELS[profile]:
         if c.first is not None and c.weaken != 1.0:
             weight = F.when((F.col("channel") == c.name) & (F.col("df") > c.cap), weight * c.weaken).otherwise(weight)
-    pairs = look.join(live, [*SHARD, "channel", "key"]).withColumn("weight", weight)
-    scored = pairs.groupBy("s1", "source", "target", "target_seq").agg(F.round(F.sum("weight"), 6).alias("block_score"))
+    pairs = look.join(live, KEY).select("s1", "no", weight.alias("weight")).repartition("s1")
+    scored = pairs.groupBy("s1", "no").agg(F.round(F.sum("weight"), 6).alias("block_score"))
     k = top_k or TOP_K[profile]
-    by = "s1" if profile == "L" else "s1, source"
-    ranked = scored.withColumn("cand_pos", F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY block_score DESC, target_seq, target)"))
-    return ranked.where(F.col("cand_pos") <= k).select("s1", "source", "target", "block_score", "cand_pos")
+    by = "s1" if profile == "L" else "s1, no % 2"
+    best = scored.withColumn("cand_pos", F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY block_score DESC, no)")).where(F.col("cand_pos") <= k)
+    named = best.withColumnRenamed("s1", "_q").join(q.select(F.col("no").alias("_q"), F.col("entity_id").alias("s1")).dropDuplicates(["_q"]), "_q")
+    return named.join(t.select("no", "source", F.col("entity_id").alias("target")), "no").select("s1", "source", "target", "block_score", "cand_pos")
 
 
 def pruned_keys(posts: DataFrame, profile: str, per: int = 1) -> DataFrame:
