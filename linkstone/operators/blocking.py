@@ -91,6 +91,17 @@ def admitted(posts: DataFrame, profile: str = "P") -> DataFrame:
     return few.unionByName(ranked.where(F.col("rank") <= most).where(F.col("rank") <= first))
 
 
+#: The first postings of a key that training sets are blocked with.
+TRAINING_FIRST = {"V6": {"token": 100, "door": 50, "pin": 50}, "C": {"token": 80, "door": 50, "pin": 50}}
+
+
+def first_postings(posts: DataFrame, profile: str = "V6") -> DataFrame:
+    """Training sets cut every key to its first postings and drop none."""
+    first = TRAINING_FIRST[profile]
+    ranked = posts.withColumn("rank", F.expr("row_number() OVER (PARTITION BY key, channel, country, source ORDER BY seq, entity_id, pos)")).where(F.col("rank") <= max(first.values()))
+    return ranked.where(F.col("rank") <= F.create_map(*[F.lit(x) for kv in first.items() for x in kv])[F.col("channel")])
+
+
 def idf_production(posts: DataFrame, targets: DataFrame) -> DataFrame:
     """(country, source, token, df, idf) with idf = ln((N + 1) / (df + 1)) + 1 in each shard."""
     n = targets.groupBy(*SHARD).agg(F.count(F.lit(1)).alias("n"))

@@ -33,11 +33,18 @@ def macro_fbeta(queries: DataFrame, predicted: DataFrame, truth: DataFrame, beta
 SWEEP = {"P": range(20, 71, 2), "V6": range(40, 96, 5), "C": range(50, 91, 5)}
 
 
-def sweep(scored: DataFrame, queries: DataFrame, truth: DataFrame, profile: str = "P", beta: float = 0.5, cap: int = 6) -> DataFrame:
-    """(tau, macro, best): resolution and score at each threshold in one plan; the first of equal maxima is best."""
+def sweep(scored: DataFrame, queries: DataFrame, truth: DataFrame, profile: str = "P", beta: float = 0.5) -> DataFrame:
+    """(tau, macro, best): resolution and score at each threshold in one plan; the first of equal maxima is best.
+
+    Profile P gives each target one owner and a query six targets; V6 and C keep
+    three targets of each source, the most probable first, and no owner.
+    """
     taus = F.array(*[F.lit(t) for t in SWEEP[profile]])
     at = scored.withColumn("tau", F.explode(taus)).where(F.col("prob") >= F.col("tau") / 100.0)
-    won = resolution.ranked(resolution.owners(at, 0.0, "tau"), cap, by="tau, s1")
+    if profile == "P":
+        won = resolution.ranked(resolution.owners(at, 0.0, "tau"), 6, by="tau, s1")
+    else:
+        won = resolution.ranked(at, 3, by="tau, s1, source")
     everywhere = lambda df: df.withColumn("tau", F.explode(taus))
     scores = per_query(everywhere(queries.select("s1")), won, everywhere(truth.select("s1", "target")), beta, "tau").groupBy("tau").agg(F.round(F.avg("score"), 6).alias("macro"))
     return scores.withColumn("best", F.col("tau") == F.expr("max_by(tau, struct(macro, -tau)) OVER ()"))

@@ -65,6 +65,11 @@ def top_per_source(scored: DataFrame, threshold: float = THRESHOLD["V6"], cap: i
     return ranked(scored.where(F.col("prob") >= threshold), cap, by="s1, source")
 
 
+def candidates_per_source(scored: DataFrame, cap: int = 4) -> DataFrame:
+    """Profile V6: the most probable candidates of each source, whatever the threshold."""
+    return ranked(scored, cap, by="s1, source")
+
+
 def plain(scored: DataFrame, threshold: float = THRESHOLD["L"]) -> DataFrame:
     """Profile L: all above the threshold, in candidate order."""
     return ranked(scored.where(F.col("prob") >= threshold), None, order="cand_pos, target")

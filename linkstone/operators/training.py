@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkstone.sources import tsv
 from linkstone.sources.scratch import cut
 
 
@@ -26,20 +27,29 @@ def split(rows: DataFrame, id_col: str, train_percent: int = 80) -> DataFrame:
     return rows.withColumn("part", F.when(bucket(id_col, 100) < train_percent, "train").otherwise("validation"))
 
 
-def split_by_position(rows: DataFrame, order: str, percent: int = 80) -> DataFrame:
-    """The first percent of the rows in order are for training.
+def _placed(rows: DataFrame, *order: str) -> DataFrame:
+    """Column _at: a row's place in the order, from 0.
 
     Rows are sorted by range partitions; a row's place is the count of the
     partitions before its own plus its place there, so no task sees all rows.
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ordered = cut(rows.orderBy(order).select("*", F.spark_partition_id().alias("_part"), place.alias("_place")), "ordered")
-    counts = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, offset, before = sum(counts.values()), F.lit(0), 0
-    for p in sorted(counts):
-        offset = F.when(F.col("_part") == p, F.lit(before)).otherwise(offset)
-        before += counts[p]
-    return ordered.withColumn("part", F.when(offset + F.col("_place") < total * percent // 100, "train").otherwise("validation")).drop("_part", "_place")
+    ordered = cut(rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_place")), "ordered")
+    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    before = counts.select("_part", F.expr("sum(_n) OVER (ORDER BY _part) - _n").alias("_before"))
+    return ordered.join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def split_by_position(rows: DataFrame, order: str, percent: int = 80) -> DataFrame:
+    """The first percent of the rows in order are for training."""
+    placed = _placed(rows, order)
+    return placed.withColumn("part", F.when(F.col("_at") < placed.count() * percent // 100, "train").otherwise("validation")).drop("_at")
+
+
+def slices(rows: DataFrame, id_col: str, train: int = 60_000, validation: int = 15_000) -> DataFrame:
+    """A seeded shuffle, by hash and id, of which the first rows are for training and the next for validation; the others are left out."""
+    shuffled = _placed(rows.withColumn("_h", bucket(id_col, 1 << 28)), "_h", id_col).drop("_h")
+    return shuffled.where(F.col("_at") < train + validation).withColumn("part", F.when(F.col("_at") < train, "train").otherwise("validation")).drop("_at")
 
 
 def needed_targets(truth: DataFrame) -> DataFrame:
@@ -101,3 +111,17 @@ def score(model, rows: DataFrame, name: str = "prob") -> DataFrame:
 
 def importances(model, features: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+
+
+def save_scorer(spark: SparkSession, path: str, model, idf: DataFrame, threshold: float) -> None:
+    """Model, IDF table and threshold below one folder; what stood there is replaced."""
+    model.write().overwrite().save(f"{path}/model")
+    idf.select("token", "idf").write.mode("overwrite").parquet(f"{path}/idf")
+    spark.createDataFrame([(str(threshold),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/threshold")
+
+
+def load_scorer(spark: SparkSession, path: str, default: float = 0.55):
+    """(model, idf, threshold) of save_scorer; without a threshold the default."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{path}/model"), tsv.read_idf(spark, f"{path}/idf"), tsv.read_value(spark, f"{path}/threshold", default)

@@ -69,6 +69,12 @@ def list_rules(rows: DataFrame, required: DataFrame, valid_ids: DataFrame | None
     return out
 
 
+def counts(rows: DataFrame) -> DataFrame:
+    """One row: all rows, those with an empty list and those with ids."""
+    empty = F.size("ids") == 0
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(empty).alias("n_empty"), F.count_if(~empty).alias("n_filled"))
+
+
 def last_of_each(rows: DataFrame) -> DataFrame:
     """Of repeated queries, the last row counts."""
     return rows.groupBy("s1").agg(F.max_by("ids", "seq").alias("ids"))
@@ -95,7 +101,7 @@ def validate(spark: SparkSession, matching: str, candidate: str | None, required
     fault = header_fault(m.header, MATCH_HEADER)
     if fault:
         return note(fault, "error")
-    undecodable = spark.read.format("binaryFile").load(matching).where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path")
+    undecodable = spark.read.text(matching).where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("path"))
     parts += [_rule(undecodable, "path", "not_utf8"), _rule(m.bad_lines, "value", "line_without_tab"), list_rules(m.rows, required, valid_ids)]
     if valid_ids is None:
         parts.append(note("ids_unchecked", "warning"))

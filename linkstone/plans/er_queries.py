@@ -9,6 +9,7 @@ from linkstone.functions import similarity as S
 from linkstone.functions import text as T
 from linkstone.operators import blocking, evaluation, features, resolution, training, validation
 from linkstone.sources import entity_views
+from linkstone.sources.scratch import cut
 
 DIGITS = 6
 QUERIES: dict = {}
@@ -169,7 +170,7 @@ def candidate_recall_documents(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir, profile):
-    """Candidates for the features: all pairs of S1 with the targets that share a door and five letters of the address."""
+    """Candidates for the features: all pairs of S1 with the targets of their country that share a door."""
     a, b = _sides(_records(spark, sf_dir), profile)
     key = lambda df, name: df.select(F.col("entity_id").alias(name), F.col("door").alias("_d"), F.col("country").alias("_c"))
     near = key(a.where("door <> ''"), "s1").join(key(b.where("door <> ''"), "target"), ["_d", "_c"]).select("s1", "target")
@@ -281,6 +282,11 @@ def resolve_top3_per_source(spark, sf_dir):
     return _match_columns(resolution.top_per_source(_scored_columns(_scored(spark, sf_dir)[0]), 0.5))
 
 
+@query
+def candidates_top4_per_source(spark, sf_dir):
+    return _match_columns(resolution.candidates_per_source(_scored_columns(_scored(spark, sf_dir)[0])))
+
+
 @query
 def resolve_threshold(spark, sf_dir):
     return resolution.plain(_scored_columns(_scored(spark, sf_dir)[0])).select("s1", "target", "prob")
@@ -328,6 +334,17 @@ def threshold_sweep(spark, sf_dir):
     return evaluation.sweep(_scored_columns(rows), a.select(F.col("entity_id").alias("s1")), _truth(r))
 
 
+def _sweep(profile):
+    def run(spark, sf_dir):
+        rows, a, r = _scored(spark, sf_dir)
+        return evaluation.sweep(_scored_columns(rows), a.select(F.col("entity_id").alias("s1")), _truth(r), profile)
+
+    return run
+
+
+QUERIES |= {"threshold_sweep_v6": _sweep("V6"), "threshold_sweep_champ": _sweep("C")}
+
+
 @query
 def country_coverage(spark, sf_dir):
     rows, a, _ = _scored(spark, sf_dir)
@@ -393,16 +410,26 @@ def auc(spark, sf_dir):
 
 @query
 def gbt_score(spark, sf_dir):
-    """Trees on the production features of candidate pairs; scores of the validation part."""
+    """Trees on the 16 production features of labelled pairs; scores of all pairs with their part. 20 trees of depth 5, Spark's own."""
     r = _records(spark, sf_dir)
     a, b = _sides(r)
-    pairs = features.pairs(training.training_pairs(blocking.block(a, b), _truth(r), b), a, b)
-    names = ["core_jaccard", "door_match", "pin_match", "trigram", "ak_overlap"]
-    x = pairs.select("s1", "target", "label", S.jaccard(F.col("a_core"), F.col("b_core")).alias("core_jaccard"), S.three_way(F.col("a_door"), F.col("b_door")).alias("door_match"), S.three_way(F.col("a_pin"), F.col("b_pin")).alias("pin_match"), S.trigram_jaccard(F.col("a_compressed"), F.col("b_compressed")).alias("trigram"), F.size(F.array_intersect("a_addr_keys", "b_addr_keys")).cast("double").alias("ak_overlap"))
-    x = training.split(x, "s1").cache()
-    model = training.fit_boosted(x.where("part = 'train'"), names, trees=10, depth=4)
-    out = training.score(model, x.where("part = 'validation'")).select("s1", "target", "label", F.round("prob", DIGITS).alias("prob"))
-    return out
+    labelled = cut(training.training_pairs(blocking.block(a, b), _truth(r), b), "labelled")
+    idf = blocking.idf_lexicon(r.withColumn("tokens", T.name_tokens("business_name", "IDF")))
+    x = features.production(features.pairs(labelled.select("s1", "target"), a, b), idf)
+    x = cut(training.split(x.join(labelled, ["s1", "target"]), "s1"), "scored")
+    model = training.fit_boosted(x.where("part = 'train'"), features.P)
+    return training.score(model, x).select("s1", "target", "label", "part", F.round("prob", DIGITS).alias("prob"))
+
+
+@query
+def shuffle_slices(spark, sf_dir):
+    return training.slices(_records(spark, sf_dir).where("source = 'S1'"), "entity_id", 600, 150).select("entity_id", "part")
+
+
+@query
+def training_postings_v6(spark, sf_dir):
+    posts = blocking.postings(_sides(_records(spark, sf_dir), "V6")[1], "V6")
+    return blocking.first_postings(posts).select("country", "source", "channel", "key", "entity_id")
 
 
 # --- validation ----------------------------------------------------------------------------------------------------
@@ -431,6 +458,11 @@ def validate_lists(spark, sf_dir):
     return validation.list_rules(rows, required, known).select("rule", "level", "n", F.array_join("examples", ",").alias("examples"))
 
 
+@query
+def list_counts(spark, sf_dir):
+    return validation.counts(_broken_lists(spark, sf_dir)[0])
+
+
 def _validate(rule):
     def run(spark, sf_dir):
         return validate_lists(spark, sf_dir).where(F.col("rule").isin(rule))
@@ -455,7 +487,7 @@ def validate_subset(spark, sf_dir):
 def invariants(spark, sf_dir):
     """Counts of what must not happen in the resolved matches: all zero."""
     rows, a, r = _scored(spark, sf_dir)
-    m = resolution.bipartite(_scored_columns(rows)).cache()
+    m = cut(resolution.bipartite(_scored_columns(rows)), "matches")
     owner = m.groupBy("target").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     many = m.groupBy("s1").agg(F.count(F.lit(1)).alias("c")).where("c > 6")
     outside = m.join(rows.select("s1", "target"), ["s1", "target"], "left_anti")

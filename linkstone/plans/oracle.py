@@ -281,15 +281,21 @@ SELECT count(*) AS n_queries, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIG
   round(avg(CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE {1 + b2} * precision_ * recall_ / ({b2} * precision_ + recall_) END), 6) AS macro FROM pr"""
 
 
-SWEEP = f"""WITH {scored()}, taus AS (SELECT unnest([{', '.join(map(str, evaluation.SWEEP['P']))}]) AS tau),
-o AS (SELECT * FROM (SELECT tau, sc.*, row_number() OVER (PARTITION BY tau, target ORDER BY prob DESC, s1_seq, cand_pos) AS o FROM taus, sc WHERE prob >= tau / 100.0) WHERE o = 1),
-m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tau, s1 ORDER BY prob DESC, source, cand_pos, target_seq) AS match_pos FROM o) WHERE match_pos <= 6),
+
+def swept(profile: str, won_: str) -> str:
+    return f"""WITH {scored()}, taus AS (SELECT unnest([{', '.join(map(str, evaluation.SWEEP[profile]))}]) AS tau),
+{won_},
 n AS (SELECT tau, m.s1, count(*) AS np, count(truth.s1) AS tp FROM m LEFT JOIN truth ON m.s1 = truth.s1 AND m.target = truth.target GROUP BY ALL),
 nt AS (SELECT s1, count(*) AS nt FROM truth GROUP BY s1),
 s AS (SELECT taus.tau, coalesce(tp, 0) AS tp, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt FROM taus CROSS JOIN p LEFT JOIN n ON n.tau = taus.tau AND n.s1 = p.entity_id LEFT JOIN nt ON nt.s1 = p.entity_id WHERE source = 'S1'),
 a AS (SELECT tau, round(avg(CASE WHEN np = 0 AND nt = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (1.25 * tp + 0.25 * (nt - tp) + (np - tp)) END), 6) AS macro FROM s GROUP BY tau)
 SELECT tau, macro, tau = first(tau) OVER (ORDER BY macro DESC, tau) AS best FROM a"""
 
+
+ONE_OWNER = """o AS (SELECT * FROM (SELECT tau, sc.*, row_number() OVER (PARTITION BY tau, target ORDER BY prob DESC, s1_seq, cand_pos) AS o FROM taus, sc WHERE prob >= tau / 100.0) WHERE o = 1),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tau, s1 ORDER BY prob DESC, source, cand_pos, target_seq) AS match_pos FROM o) WHERE match_pos <= 6)"""
+THREE_A_SOURCE = "m AS (SELECT * FROM (SELECT tau, sc.*, row_number() OVER (PARTITION BY tau, s1, source ORDER BY prob DESC, cand_pos, target_seq) AS match_pos FROM taus, sc WHERE prob >= tau / 100.0) WHERE match_pos <= 3)"
+
 _MD5 = lambda c: f"CAST(concat('0x', substr(md5(concat({c}, '#42')), 1, 7)) AS BIGINT) % 100"
 NEGATIVES = "neg AS (SELECT * FROM (SELECT b.s1, b.target, row_number() OVER (PARTITION BY b.s1 ORDER BY source, cand_pos, b.target) AS neg_pos FROM b WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1 = b.s1 AND t.target = b.target)) WHERE neg_pos <= 4)"
 BROKEN = """r AS ({records}), s1 AS (SELECT entity_id AS s1, seq AS k, concat('S2-', seq) AS t FROM r WHERE source = 'S1'),
@@ -366,7 +372,7 @@ ORACLE_SQL = {
     "resolve_minimal": f"WITH {scored(5, minimal=True)}, {won(str(_T['P']), 6)}, {LISTS} SELECT s1_id, array_to_string(ids, ',') AS matched_entity_ids FROM li",
     "matching_output": f"WITH {BIPARTITE}, {LISTS} SELECT s1_id, array_to_string(ids, ',') AS matched_entity_ids FROM li",
     "candidate_superset": f"WITH {BIPARTITE}, {LISTS}, {SUPERSET}",
-    "macro_fbeta_05": macro(0.5), "macro_fbeta_2": macro(2.0), "threshold_sweep": SWEEP,
+    "macro_fbeta_05": macro(0.5), "macro_fbeta_2": macro(2.0), "threshold_sweep": swept("P", ONE_OWNER), "threshold_sweep_v6": swept("V6", THREE_A_SOURCE), "threshold_sweep_champ": swept("C", THREE_A_SOURCE),
     "country_coverage": f"WITH {BIPARTITE} SELECT country, count(*) AS n_queries, count(x.s1) AS n_matched, round(100.0 * count(x.s1) / count(*), 4) AS percent FROM p LEFT JOIN (SELECT DISTINCT s1 FROM m) x ON x.s1 = p.entity_id WHERE source = 'S1' GROUP BY country",
     "hard_negatives": f"WITH {profiled()}, {blocked()}, {TRUTH}, {NEGATIVES} SELECT s1, target, CAST(neg_pos AS INT) AS neg_pos FROM neg",
     "training_pairs": f"WITH {profiled()}, {blocked()}, {TRUTH}, {NEGATIVES} SELECT s1, target, 1 AS label FROM truth UNION ALL SELECT s1, target, 0 FROM neg",
@@ -386,6 +392,11 @@ ORACLE_SQL = {
     "position_split": f"SELECT entity_id, CASE WHEN row_number() OVER (ORDER BY seq) <= count(*) OVER () * 80 // 100 THEN 'train' ELSE 'validation' END AS part FROM ({records()}) WHERE source = 'S1'",
     "needed_targets": f"WITH r AS ({records()}) SELECT DISTINCT t.entity_id FROM r a JOIN r t ON a.entity = t.entity WHERE a.source = 'S1' AND t.source <> 'S1' AND {_MD5('a.entity_id')} < 20",
     **{n: f"SELECT * FROM ({VALIDATE}) WHERE rule IN ({', '.join(map(text, rules))})" for n, rules in (("validate_duplicates", ["duplicate_query", "repeated_id"]), ("validate_prefix", ["self_match", "bad_prefix"]), ("validate_required", ["missing_query", "extra_query"]), ("validate_unknown_ids", ["unknown_id"]))},
+    "list_counts": f"WITH {BROKEN} SELECT count(*) AS n_rows, count(*) FILTER (len(ids) = 0) AS n_empty, count(*) FILTER (len(ids) > 0) AS n_filled FROM l",
+    "candidates_top4_per_source": f"WITH {scored()} SELECT s1, target, prob, CAST(match_pos AS INT) AS match_pos FROM (SELECT *, row_number() OVER (PARTITION BY s1, source ORDER BY prob DESC, cand_pos, target_seq) AS match_pos FROM sc) WHERE match_pos <= 4",
+    "shuffle_slices": f"SELECT entity_id, CASE WHEN n <= 600 THEN 'train' ELSE 'validation' END AS part FROM (SELECT entity_id, row_number() OVER (ORDER BY substr(md5(concat(entity_id, '#42')), 1, 7), entity_id) AS n FROM ({records()}) WHERE source = 'S1') WHERE n <= 750",
+    "training_postings_v6": f"""WITH {profiled('V6')}, posts AS ({key_rows('p', "source <> 'S1'", 'V6', True)})
+      SELECT country, source, channel, key, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY country, source, channel, key ORDER BY seq, entity_id) AS n FROM posts) WHERE n <= CASE channel WHEN 'token' THEN 100 ELSE 50 END""",
     "validate_lists": VALIDATE, "validate_subset": SUBSET,
     "invariants": "SELECT unnest(['two_owners', 'over_cap', 'outside_candidates', 'other_country']) AS invariant, CAST(0 AS BIGINT) AS n",
 }

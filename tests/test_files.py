@@ -59,3 +59,38 @@ def test_rules(spark, tmp_path):
     assert missing.first().rule == "missing_file" and not validation.passes(missing)
     (tmp_path / "latin.tsv").write_bytes((HEAD + "\nS1-1\t\xe9\nS1-2\t\n").encode("latin-1"))
     assert "not_utf8" in {r.rule for r in validation.validate(spark, str(tmp_path / "latin.tsv"), None, spark.createDataFrame([("S1-1",), ("S1-2",)], "s1 string")).collect()}
+
+
+def test_command(spark, tmp_path, capsys):
+    from linkstone import check_lists
+
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    source = put("s1.tsv", head + "S1-1\ta\tb\tUS\nS1-2\ta\tb\tUS\n")
+    targets = put("s2.tsv", head + "S2-1\ta\tb\tUS\n")
+    good = put("good.tsv", "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\t\n")
+    more = put("more.tsv", "source1_entity_id\tcandidate_entity_ids\nS1-1\tS2-1\nS1-2\tS2-1\n")
+    assert check_lists.main([good, "--candidate", more, "--source", source, "--targets", targets], spark) == 0
+    assert "2 rows, 1 empty, 1 with ids" in capsys.readouterr().out
+    bad = put("bad.tsv", "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-9\n")
+    assert check_lists.main([bad, "--source", source, "--targets", targets], spark) == 1
+    said = capsys.readouterr().out
+    assert "error: unknown_id: 1 (S2-9)" in said and "error: missing_query: 1 (S1-2)" in said and said.endswith("FAIL\n")
+    (tmp_path / "bytes.tsv").write_bytes(b"source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\t\xff\n")
+    assert check_lists.main([str(tmp_path / "bytes.tsv"), "--source", source], spark) == 1
+    assert "not_utf8" in capsys.readouterr().out
+    assert check_lists.main([str(tmp_path / "none.tsv"), "--source", source], spark) == 1
+
+
+def test_scorer_is_saved_and_loaded(spark, tmp_path):
+    from linkstone.operators import training
+
+    rows = spark.createDataFrame([(float(k % 7), float(k % 3), int(k % 7 > 3)) for k in range(70)], "x double, y double, label int")
+    model = training.fit_boosted(rows, ["x", "y"], trees=2, depth=2)
+    training.save_scorer(spark, str(tmp_path / "s"), model, spark.createDataFrame([("a", 1.5)], "token string, idf double"), 0.42)
+    again, idf, threshold = training.load_scorer(spark, str(tmp_path / "s"))
+    assert training.score(again, rows).collect() == training.score(model, rows).collect()
+    assert [tuple(r) for r in idf.collect()] == [("a", 1.5)] and threshold == 0.42
