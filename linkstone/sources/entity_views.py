@@ -22,7 +22,7 @@ SELECT concat('S2-', k),
   CASE WHEN k % 5 = 0 THEN concat('zq', w, 'x') WHEN k % 7 = 0 THEN concat('http://www.', w, replace(p, ' ', ''), '.com')
        WHEN k % 11 = 0 THEN concat(replace(w, 'e', 'é'), ' ', p) ELSE concat(w, ' ', p, ' Pvt. Ltd') END,
   CASE WHEN k % 9 = 0 THEN '' WHEN k % 6 = 0 THEN concat(k % 900 + 1, ' ', upper(st), ' AVENUE, SPRINGFIELD') ELSE concat(k % 900 + 1, ' ', upper(st), ' AVENUE, SPRINGFIELD, ', pin) END,
-  k, 'S2', k FROM k WHERE k % 3 <> 0
+  k, 'S2', k FROM k WHERE k % 8 <> 5
 UNION ALL
 SELECT concat('S3-', k),
   CASE WHEN k % 5 = 1 THEN concat(p, ' ', w) ELSE concat(w, ' ', p, ' & Co.') END,
@@ -37,14 +37,16 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts: the first half of the words is the name, the second the address."""
     from pyspark.sql import functions as F
 
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\t\\n\\x0B\\f\\r]+"), F.lit(0))
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", words.alias("w"))
+    half = F.expr("CAST((size(w) + 1) DIV 2 AS INT)")
     source = F.concat(F.lit("S"), F.col("doc_id") % 3 + 1)
     return d.select(
-        F.concat(source, F.lit("-"), "doc_id").alias("entity_id"), F.array_join(F.slice("w", 1, 8), " ").alias("business_name"),
-        F.array_join(F.slice("w", F.greatest(F.lit(1), F.size("w") - 11), 12), " ").alias("business_address"), F.col("lang").alias("country"), source.alias("source"),
+        F.concat(source, F.lit("-"), "doc_id").alias("entity_id"), F.array_join(F.slice("w", F.lit(1), half), " ").alias("business_name"),
+        F.array_join(F.slice("w", half + 1, F.size("w")), " ").alias("business_address"), F.col("lang").alias("country"), source.alias("source"),
         F.col("doc_id").alias("seq"), F.col("doc_id").alias("entity"),
     )
 
@@ -55,6 +57,6 @@ def synthetic_oracle() -> str:
 
 def documents_oracle() -> str:
     return r"""
-SELECT concat('S', doc_id % 3 + 1, '-', doc_id) AS entity_id, array_to_string(w[1:8], ' ') AS business_name, array_to_string(w[greatest(1, len(w) - 11):len(w)], ' ') AS business_address,
+SELECT concat('S', doc_id % 3 + 1, '-', doc_id) AS entity_id, array_to_string(w[1:(len(w) + 1) // 2], ' ') AS business_name, array_to_string(w[(len(w) + 1) // 2 + 1:len(w)], ' ') AS business_address,
   lang AS country, concat('S', doc_id % 3 + 1) AS source, doc_id AS seq, doc_id AS entity
 FROM (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents)"""
