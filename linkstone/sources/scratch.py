@@ -26,10 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_paths: list[tuple[SparkSession, str]] = []
+
+
+def _remove_all() -> None:
+    for spark, path in _paths:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session may be gone by then
+            return
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table and read it back: what is used several times is computed once and outlives executors."""
+    """Write df as a table and read it back: what is used several times is computed once and outlives executors.
+
+    The tables go when the program ends, if its session still runs.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/linkstone/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _paths:
+        atexit.register(_remove_all)
+    _paths.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
