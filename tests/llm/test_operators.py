@@ -289,22 +289,6 @@ def test_unigram_relaxes_by_score():
         assert abs(sum(scores[i] for i in ids) - sum(cost(u) for u in codec.unit.findall("▁" + t.replace(" ", "▁")))) < 1e-9 and codec.decode(ids) == t
 
 
-def test_pipeline(spark, sf, docs, labels):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, sf)
-    rows = [r for r in docs.collect()]
-    good = {r.doc_id for r in quality.quality(docs, labels).where("predicted = 1").collect()}
-    rows = [r for r in rows if r.doc_id in good]
-    first = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        first.setdefault(b" ".join(brute.SPACE.split(r.text.encode())), r)
-    component = brute.near_duplicates([(r.doc_id, r.text) for r in first.values()])
-    left = [r for r in first.values() if component[r.doc_id][1] == r.doc_id]
-    dirty = {r.doc_id for r in decontamination.decontaminate(docs, common.load(spark, sf, "benchmark")).where("contaminated").collect()}
-    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in left} - dirty and len(corpus_pipeline.STAGES) == 5
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, sf, name):
     import duckdb
