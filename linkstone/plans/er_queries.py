@@ -158,12 +158,36 @@ def candidate_recall(spark, sf_dir):
     return blocking.recall(blocking.block(*_sides(r)), _truth(r))
 
 
+def _similar_texts(spark, sf_dir) -> DataFrame:
+    """(s1, target): pairs across sources, of one lang, whose texts' distinct words have a Jaccard similarity of at least 0.7.
+
+    Equal sets of words are compared as one.  Others meet at a word among the
+    n - ceil(0.7 n) + 1 rarest of either set, which similar ones share, and are
+    then compared in full.
+    """
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\t\\n\\x0B\\f\\r]+"), F.lit(0))))
+    entity = F.concat(F.lit("S"), F.col("doc_id") % 3 + 1, F.lit("-"), "doc_id")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(entity.alias("id"), (F.col("doc_id") % 3).alias("m"), "lang", words.alias("w"))
+    d = cut(d.where("size(w) > 0").withColumn("h", F.sha2(F.array_join("w", " "), 256)), "words")
+    sets = d.dropDuplicates(["lang", "h"]).select("lang", "h", "w")
+    tokens = sets.select("lang", "h", F.size("w").alias("n"), F.explode("w").alias("t"))
+    often = tokens.groupBy("lang", "t").agg(F.count(F.lit(1)).alias("c"))
+    ranked = tokens.join(often, ["lang", "t"]).groupBy("lang", "h", "n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("o"))
+    first = ranked.select("lang", "h", "n", F.explode(F.expr("slice(o, 1, CAST(n - (7 * n + 9) DIV 10 + 1 AS INT))")).alias("o")).select("lang", F.col("o.t").alias("t"), "h", "n")
+    near = first.toDF("lang", "t", "x", "nx").join(first.toDF("lang", "t", "y", "ny"), ["lang", "t"])
+    near = near.where("x < y AND 10 * least(nx, ny) >= 7 * greatest(nx, ny)").select("lang", "x", "y").distinct()
+    full = near.join(sets.toDF("lang", "x", "wx"), ["lang", "x"]).join(sets.toDF("lang", "y", "wy"), ["lang", "y"]).withColumn("i", F.size(F.array_intersect("wx", "wy")))
+    alike = full.where("10 * i >= 7 * (size(wx) + size(wy) - i)").select("lang", "x", "y")
+    both = alike.unionByName(alike.toDF("lang", "y", "x")).unionByName(sets.select("lang", F.col("h").alias("x"), F.col("h").alias("y")))
+    queries = d.where("m = 0").select("lang", F.col("h").alias("x"), F.col("id").alias("s1"))
+    targets = d.where("m <> 0").select("lang", F.col("h").alias("y"), F.col("id").alias("target"))
+    return queries.join(both, ["lang", "x"]).join(targets, ["lang", "y"]).select("s1", "target")
+
+
 @query
 def candidate_recall_documents(spark, sf_dir):
-    """Pairs of equal texts across sources, found through names and addresses alone."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("S"), F.col("doc_id") % 3 + 1, F.lit("-"), "doc_id").alias("id"), F.col("doc_id") % 3, F.sha2("text", 256).alias("h"), "lang").toDF("id", "m", "h", "lang")
-    truth = d.where("m = 0").select(F.col("id").alias("s1"), "h", "lang").join(d.where("m <> 0").select(F.col("id").alias("target"), "h", "lang"), ["h", "lang"]).select("s1", "target")
-    return blocking.recall(blocking.block(*_sides(_records(spark, sf_dir, "documents")), "L"), truth)
+    """Pairs of similar texts across sources, found through names and addresses alone."""
+    return blocking.recall(blocking.block(*_sides(_records(spark, sf_dir, "documents")), "L"), _similar_texts(spark, sf_dir))
 
 
 # --- features ------------------------------------------------------------------------------------------------------

@@ -321,8 +321,10 @@ SUBSET = f"WITH {BROKEN}, c AS (SELECT s1, list_append(ids, 'S3-0') AS ids FROM
     "match_outside_candidates", "warning", "SELECT s1 AS v FROM e WHERE NOT EXISTS (SELECT 1 FROM ce WHERE ce.s1 = e.s1 AND ce.id = e.id)"
 )
 
-_DOCS_TRUTH = """d AS (SELECT concat('S', doc_id % 3 + 1, '-', doc_id) AS id, doc_id % 3 AS m, text, lang FROM documents),
-truth AS (SELECT a.id AS s1, t.id AS target FROM d a JOIN d t ON a.text = t.text AND a.lang = t.lang WHERE a.m = 0 AND t.m <> 0)"""
+_DOCS_TRUTH = r"""dt AS (SELECT concat('S', doc_id % 3 + 1, '-', doc_id) AS id, doc_id % 3 AS m, lang, len(w) AS n, unnest(w) AS t
+  FROM (SELECT doc_id, lang, list_distinct(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS w FROM documents)),
+truth AS (SELECT a.id AS s1, b.id AS target FROM dt a JOIN dt b ON a.t = b.t AND a.lang = b.lang WHERE a.m = 0 AND b.m <> 0
+  GROUP BY a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*)))"""
 
 
 def _clean(profile: str) -> str:

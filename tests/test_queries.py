@@ -20,7 +20,7 @@ def plain(v):
     return round(v, 5) if isinstance(v, float) and not math.isnan(v) else v
 
 
-@pytest.mark.parametrize("name", ["clean_name", "anchor_sets", "block_multi_topk", "block_champ", "features_prod", "features_champ", "features_basic", "candidate_superset", "threshold_sweep", "threshold_sweep_v6", "candidates_top4_per_source", "training_postings_v6", "shuffle_slices", "list_counts", "validate_lists"])
+@pytest.mark.parametrize("name", ["clean_name", "anchor_sets", "candidate_recall_documents", "block_multi_topk", "block_champ", "features_prod", "features_champ", "features_basic", "candidate_superset", "threshold_sweep", "threshold_sweep_v6", "candidates_top4_per_source", "training_postings_v6", "shuffle_slices", "list_counts", "validate_lists"])
 def test_against_sql(spark, sf, con, name):
     want = con.sql(catalog.ORACLE_SQL[name])
     got = catalog.QUERIES[name](spark, sf).select(*want.columns)
