@@ -7,7 +7,7 @@ import pytest
 from linkstone.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["block_anchor"])
+@pytest.mark.parametrize("name", ["block_anchor", "block_pin"])
 def test_no_growing_table_is_broadcast(spark, sf, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan is the one that runs
     try:
