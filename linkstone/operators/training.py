@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkstone.sources import tsv
-from linkstone.sources.scratch import cut
+from linkstone.sources.scratch import cut, large
 
 
 def bucket(id_col: str, n: int, seed: int = 42) -> Column:
@@ -16,7 +16,7 @@ def bucket(id_col: str, n: int, seed: int = 42) -> Column:
 
 def sample_distractors(records: DataFrame, needed: DataFrame, percent: int = 5, limit: int | None = None) -> DataFrame:
     """Records that are needed (ids), and a hashed share of the others; limit: at most so many others, in id order."""
-    base = records.join(needed.select(F.col("entity_id").alias("_n")).distinct(), records["entity_id"] == F.col("_n"), "left")
+    base = records.join(large(needed.select(F.col("entity_id").alias("_n")).distinct()), records["entity_id"] == F.col("_n"), "left")
     others = base.where(F.col("_n").isNull() & (bucket("entity_id", 100) < percent))
     if limit is not None:
         others = others.orderBy("seq", "entity_id").limit(limit)
@@ -59,19 +59,19 @@ def needed_targets(truth: DataFrame) -> DataFrame:
 
 def hard_negatives(candidates: DataFrame, truth: DataFrame, per_query: int = 4) -> DataFrame:
     """The first candidates of each query that aren't true."""
-    wrong = candidates.join(truth.select("s1", "target"), ["s1", "target"], "left_anti")
+    wrong = candidates.join(large(truth.select("s1", "target")), ["s1", "target"], "left_anti")
     return wrong.withColumn("neg_pos", F.expr("row_number() OVER (PARTITION BY s1 ORDER BY source, cand_pos, target)")).where(F.col("neg_pos") <= per_query)
 
 
 def training_pairs(candidates: DataFrame, truth: DataFrame, targets: DataFrame, per_query: int = 4) -> DataFrame:
     """(s1, target, label): all true pairs with a known target, and hard negatives."""
-    true = truth.join(targets.select(F.col("entity_id").alias("target")), "target", "left_semi").select("s1", "target", F.lit(1).alias("label"))
+    true = truth.join(large(targets.select(F.col("entity_id").alias("target"))), "target", "left_semi").select("s1", "target", F.lit(1).alias("label"))
     return true.unionByName(hard_negatives(candidates, truth, per_query).select("s1", "target", F.lit(0).alias("label")))
 
 
 def labelled_candidates(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     """Profile L: every candidate, labelled by whether it is true."""
-    return candidates.join(truth.select("s1", "target").distinct().withColumn("_t", F.lit(1)), ["s1", "target"], "left").select("s1", "target", F.coalesce("_t", F.lit(0)).alias("label"))
+    return candidates.join(large(truth.select("s1", "target").distinct().withColumn("_t", F.lit(1))), ["s1", "target"], "left").select("s1", "target", F.coalesce("_t", F.lit(0)).alias("label"))
 
 
 def fit_boosted(rows: DataFrame, features: list[str], label: str = "label", trees: int = 20, depth: int = 5, rate: float = 0.08, weight: str | None = None, seed: int = 42):
