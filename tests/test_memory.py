@@ -11,7 +11,7 @@ from linkstone.plans import catalog
 from linkstone.sources import entity_views
 
 
-@pytest.mark.parametrize("name", ["block_anchor", "block_pin", "block_prefix", "adaptive_threshold", "macro_fbeta_05", "macro_fbeta_2", "country_coverage", "hard_negatives", "class_balance", "matching_output"])
+@pytest.mark.parametrize("name", ["block_anchor", "block_pin", "block_prefix", "adaptive_threshold", "macro_fbeta_05", "macro_fbeta_2", "country_coverage", "hard_negatives", "class_balance", "matching_output", "block_multi_topk"])
 def test_no_growing_table_is_broadcast(spark, sf, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan is the one that runs
     try:
